@@ -71,11 +71,11 @@ pairs AS (SELECT scan_id, lag(scan_id) OVER (PARTITION BY repo ORDER BY instant,
 raw_records AS (
   SELECT scan_id, 'node' AS kind, id AS record_key,
     coalesce(name, '~') || '|' || coalesce(type, '~') || '|' || coalesce(file_path, '~') || '|' || coalesce(line_number::VARCHAR, '~') || '|'
-    || coalesce(list_sort(list_transform(map_entries(metadata), e -> e.key || '=' || coalesce(e.value, '~')))::VARCHAR, '[]') AS content
+    || coalesce(list_sort(list_transform(map_entries(metadata), lambda e: e.key || '=' || coalesce(e.value, '~')))::VARCHAR, '[]') AS content
   FROM graph_nodes WHERE id IS NOT NULL
   UNION SELECT scan_id, 'edge', source || ' -> ' || target || ' (' || type || ')',
     coalesce(confidence::VARCHAR, '~') || '|' || coalesce(list_sort(list_distinct(evidence))::VARCHAR, '[]') || '|'
-    || coalesce(list_sort(list_transform(map_entries(metadata), e -> e.key || '=' || coalesce(e.value, '~')))::VARCHAR, '[]')
+    || coalesce(list_sort(list_transform(map_entries(metadata), lambda e: e.key || '=' || coalesce(e.value, '~')))::VARCHAR, '[]')
   FROM graph_edges WHERE source IS NOT NULL),
 now_rows AS (SELECT p.scan_id, r.kind, r.record_key, r.content FROM pairs p JOIN raw_records r USING (scan_id) WHERE p.earlier IS NOT NULL),
 was_rows AS (SELECT p.scan_id, r.kind, r.record_key, r.content FROM pairs p JOIN raw_records r ON r.scan_id = p.earlier),
