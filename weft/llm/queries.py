@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import leaks, mixing, reading, representative
+from weft.llm.syntax.files import check_files, rates
 from weft.session import table
 
 
@@ -29,6 +30,22 @@ def p3_voted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return representative.golden_records(representative.winners_by_votes(_facts(spark, sf_dir)))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that every dialect of their language rejects."""
+    return check_files(table(spark, sf_dir, "source_files")).filter("invalid").select("file_id")
+
+
+def p4_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A flag for every file, with the number of dialects that accept it."""
+    checked = check_files(table(spark, sf_dir, "source_files"))
+    return checked.select("file_id", "repo", "language", F.size("dialects").alias("dialects"), "invalid")
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of files that do not parse per repository and language."""
+    return rates(check_files(table(spark, sf_dir, "source_files")))
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_windows(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), text=leaks.cell_limits(F.col("text"), F.col("cells"))
@@ -77,7 +94,7 @@ def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.reading_levels(features, reading.fit(features))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_golden, p3_voted, p6_found, p6_cleaned, p7_found, p7_report, p7_corpus, p8_found, p8_levels)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_golden, p3_voted, p4_found, p4_files, p4_rates, p6_found, p6_cleaned, p7_found, p7_report, p7_corpus, p8_found, p8_levels)}
 
 _FACTS = r"""
 parts AS (
