@@ -84,14 +84,14 @@ def p7_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The demanding documents."""
-    features = reading.prose_features(table(spark, sf_dir, "documents"))
-    return reading.demanding(features, reading.fit(features))
+    documents = table(spark, sf_dir, "documents")
+    return reading.demanding(reading.prose_features(documents), reading.fit(documents))
 
 
 def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reading level of every document."""
-    features = reading.prose_features(table(spark, sf_dir, "documents"))
-    return reading.reading_levels(features, reading.fit(features))
+    documents = table(spark, sf_dir, "documents")
+    return reading.reading_levels(reading.prose_features(documents), reading.fit(documents))
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_golden, p3_voted, p4_found, p4_files, p4_rates, p6_found, p6_cleaned, p7_found, p7_report, p7_corpus, p8_found, p8_levels)}

@@ -101,9 +101,18 @@ class ReadingModel:
         return sum(max(w, 0.0) * held.get(f, 0.0) + min(w, 0.0) for w, f in zip(self.weights, FEATURES))
 
 
-def fit(features: DataFrame, *, sample: int = SAMPLE_DOCUMENTS, pairs: int = SAMPLE_PAIRS, seed: int = 11) -> ReadingModel:
+def sample_documents(documents: DataFrame, sample: int, seed: int, doc_id: str = "doc_id") -> DataFrame:
+    """About three times ``sample`` documents, chosen by hash, so that each task passes on its share only."""
+    total = documents.count()
+    share = min(1.0, 3.0 * sample / max(1, total))
+    place = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id)), F.lit(1 << 40))
+    return documents.filter(place < int(share * (1 << 40)) + 1)
+
+
+def fit(documents: DataFrame, *, sample: int = SAMPLE_DOCUMENTS, pairs: int = SAMPLE_PAIRS, seed: int = 11, doc_id: str = "doc_id") -> ReadingModel:
     """A model fitted on at most ``sample`` documents with prose; without any, all weights and grades are 0."""
-    rows = features.filter("words > 0").orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id").limit(sample).select("words", "letters", "sentences", *FEATURES).collect()
+    chosen = prose_features(sample_documents(documents, sample, seed, doc_id), doc_id=doc_id).filter("words > 0")
+    rows = chosen.orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id").limit(sample).select("words", "letters", "sentences", *FEATURES).collect()
     if len(rows) < 2:
         return ReadingModel([0.0] * len(FEATURES), [0.0], [0.0])
     raw = np.array([tuple(r) for r in rows], dtype=float)
