@@ -36,7 +36,7 @@ def prose(text: Column, cells: Column) -> Column:
 def prose_features(documents: DataFrame, *, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, words, letters, sentences, and ``FEATURES``), one row a document.
 
-    Null texts and cells, and documents without prose, have 0 words and null features. All features lie in [0, 1].
+    Null texts and cells, and documents without prose, have 0 words and features of 0 or null. All features lie in [0, 1].
     """
     shown = documents.select(F.col(doc_id).alias("doc_id"), prose(F.col("text"), F.col("cells")).alias("prose"))
     counts = {
@@ -135,7 +135,7 @@ def reading_levels(features: DataFrame, model: ReadingModel) -> DataFrame:
     """(doc_id, level, grade, score, words, sentences, letters): level 1 to ``LEVELS``, 0 for documents without prose."""
     scored = features.withColumn("score", model.score())
     scored = scored.withColumn("grade", F.when(F.col("words") > 0, model.grade(F.col("score"))))
-    level = F.coalesce(F.least(F.floor(F.col("grade") * LEVELS).cast("int") + 1, F.lit(LEVELS)), F.lit(0))
+    level = F.when(F.col("grade").isNull(), 0).otherwise(F.least(F.floor(F.col("grade") * LEVELS).cast("int") + 1, F.lit(LEVELS)))
     return scored.select("doc_id", level.alias("level"), "grade", "score", "words", "sentences", "letters")
 
 

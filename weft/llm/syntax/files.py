@@ -30,7 +30,7 @@ def _python_rejects(text: str) -> bool:
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            ast.parse(text)
+            ast.parse(text.removeprefix("\ufeff"))
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return True
     return False

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import lru_cache
 
 from weft.llm.syntax.gll import Grammar
@@ -102,6 +103,7 @@ _PREFIX = re.compile(r"(?i:(?:[rb]?|u|rb|br|f|rf|fr)(?='|\"))")
 _OPERATOR = re.compile("|".join(map(re.escape, _OPERATORS)))
 _BODY = {q: re.compile(rf"(?:[^\\{q[0]}{'' if len(q) == 3 else chr(10)}]|\\[\s\S]{'|' + q[0] + '(?!' + q[0] * 2 + ')' if len(q) == 3 else ''})*{q}") for q in ("'", '"', "'''", '"""')}
 _BAD_ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*\\(?:x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4})|U(?!00(?:0[0-9a-fA-F]|10)[0-9a-fA-F]{4})|N(?!\{[^{}]+\}))")
+_NAMED = re.compile(r"(?<!\\)(?:\\\\)*\\N\{([^{}]+)\}")
 _CLOSING = {")": "(", "]": "[", "}": "{"}
 
 
@@ -221,6 +223,12 @@ class _Lexer:
             raise _Bad
         if "r" not in prefix and "\\" in body and _BAD_ESCAPE.search(re.sub(r"\\[uUN]", "", body) if "b" in prefix else body):
             raise _Bad
+        if not prefix and "\\N{" in body:
+            for name in _NAMED.findall(body):
+                try:
+                    unicodedata.lookup(name)
+                except KeyError:
+                    raise _Bad from None
         self.out.append("BYTES" if "b" in prefix else "STRING")
         return m.end()
 
