@@ -10,8 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.session import cut
+
 #: A chunk has this many rows on average (a power of two).
 CHUNK_ROWS = 32
+#: Snapshot headers are broadcast up to this many (about 16 bytes each), and joined by a shuffle beyond.
+BROADCAST_SNAPSHOTS = 500_000
 #: A snapshot with more rows than this is sorted in several independent buckets of the key space.
 BUCKET_ROWS = 50_000
 
@@ -24,6 +28,7 @@ def instant(text: Column) -> Column:
     t = F.regexp_replace(F.regexp_replace(t, r",(?=\d)", "."), r"\s*(UTC|GMT|Z)$", "Z")
     t = F.regexp_replace(t, r"(?<=[T ]\d\d:\d\d[\d:.]{0,16})\s*([+-]\d{2}):?(\d{2})$", "$1:$2")
     t = F.regexp_replace(t, r"(?<=[T ]\d\d:\d\d[\d:.]{0,16})\s*([+-]\d{2})$", "$1:00")
+    t = F.regexp_replace(t, r"([T ]\d{2}:\d{2})(?=$|[Z+-])", "$1:00")
     return F.when(t.rlike(r"(Z|[+-]\d{2}:\d{2})$"), t.try_cast("timestamp")).otherwise(
         F.concat(t, F.when(t.rlike("[T ]"), "Z").otherwise("T00:00:00Z")).try_cast("timestamp")
     )
@@ -85,6 +90,9 @@ def snapshot_changes(
     known = snapshots.join(buckets, F.col("series").eqNullSafe(F.col("_series")), "left").select(
         "snapshot", "earlier", "later", F.coalesce("buckets", F.lit(1)).alias("buckets")
     )
+    known = cut(known)
+    if known.count() <= BROADCAST_SNAPSHOTS:
+        known = F.broadcast(known)
     rows = (
         records.join(known.select("snapshot", "buckets"), "snapshot")
         .withColumn("bucket", F.pmod(F.shiftright("key_digest", 8), F.col("buckets")).cast("int"))
