@@ -146,5 +146,5 @@ def demanding(features: DataFrame, model: ReadingModel) -> DataFrame:
     """
     cut = model.least_score({"sentence_length": 1.0, "word_length": 1.0}) - 1e-6
     scored = features.withColumn("score", model.score())
-    exact = (F.col("words") >= F.col("sentences") * DEMANDING_WORDS) & (F.col("letters") >= F.col("words") * F.lit(DEMANDING_LETTERS))
+    exact = (F.try_divide(F.col("words"), F.col("sentences")) >= DEMANDING_WORDS) & (F.try_divide(F.col("letters"), F.col("words")) >= DEMANDING_LETTERS)
     return scored.filter((F.col("words") > 0) & (F.col("score") >= cut) & exact).select("doc_id")

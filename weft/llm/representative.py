@@ -38,7 +38,7 @@ def canonical_id(column: Column) -> Column:
     host = F.regexp_replace(F.regexp_replace(host, r"^//", ""), r"[/?#].*$", "")
     host = F.regexp_replace(host, r"^.*@", "")
     host = _strip(F.when(host.startswith("["), F.regexp_replace(host, r"^\[([^\]]*)\].*$", "$1")).otherwise(F.regexp_replace(host, r":.*$", "")))
-    shaped = F.when(kind == "sql_table", name).when((kind == "api_route") & (F.size(parts) > 2), route).when(kind == "external_system", host).otherwise(rest)
+    shaped = F.when(kind == "sql_table", name).when((kind == "api_route") & (F.size(parts) > 2), route).when(kind == "api_route", F.upper(rest)).when(kind == "external_system", host).otherwise(rest)
     return F.when(F.size(parts) > 1, F.concat(kind, F.lit(":"), shaped)).otherwise(kind)
 
 
