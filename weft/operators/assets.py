@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.operators.model import LOW, Graph, is_asset
 from weft.operators.traverse import arcs
-from weft.session import cut
+from weft.session import cut, cut_observed
 
 #: Bounds of the contraction: hops of a path, paths kept per pair, visits of a node per start; fixed values.
 MAX_HOPS, MAX_PATHS, MAX_VISITS = 12, 3, 8
@@ -26,8 +26,8 @@ def asset_paths(graph: Graph) -> DataFrame:
     visits = assets.select(F.col("id").alias("start"), F.col("id").alias("cur"), F.lit(0).alias("before")).limit(0)
     found = None
     for hops in range(MAX_HOPS + 1):
-        state = cut(state)
-        if state.isEmpty():
+        state, seen = cut_observed(state)
+        if not seen["rows"]:
             break
         onward = state.join(links, F.col("cur") == F.col("a")).filter((F.col("b") != F.col("start")) & ~F.array_contains(F.col("via"), F.col("b")))
         onward = cut(onward.select("start", "cur", "via", "b", "to_asset"))
@@ -38,7 +38,7 @@ def asset_paths(graph: Graph) -> DataFrame:
         stops = onward.filter("to_asset and cur <> start").select("start", "via").distinct()
         steps = onward.filter("not to_asset").join(stops, ["start", "via"], "left_anti")
         order = Window.partitionBy("start", "b").orderBy("via")
-        steps = steps.withColumn("n", F.row_number().over(order)).join(visits.withColumnRenamed("cur", "b"), ["start", "b"], "left")
+        steps = steps.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= MAX_VISITS).join(visits.withColumnRenamed("cur", "b"), ["start", "b"], "left")
         steps = cut(steps.filter(F.col("n") + F.coalesce("before", F.lit(0)) <= MAX_VISITS).select("start", F.col("b").alias("cur"), F.concat("via", F.array("b")).alias("via")))
         counted = steps.groupBy("start", "cur").agg(F.count(F.lit(1)).cast("int").alias("before"))
         visits = cut(visits.unionByName(counted).groupBy("start", "cur").agg(F.sum("before").cast("int").alias("before")))

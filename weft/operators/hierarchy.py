@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.session import cut
+from weft.session import cut, cut_observed
 
 #: Children of one parent are chained in this many buckets.
 SIBLING_BUCKETS = 64
@@ -45,10 +45,11 @@ def _peel(parents: DataFrame) -> DataFrame | None:
 def _cycle_labels(parents: DataFrame, caught: DataFrame, names: DataFrame) -> DataFrame:
     """(on, label): the smallest name on the cycle of each node on a cycle."""
     on = caught.select(F.col("on").alias("v")).distinct()
-    state = cut(parents.join(on, "v", "left_semi").join(names, "v").select("v", F.col("p").alias("j"), F.col("name").alias("m"), F.lit(True).alias("new")))
-    while not state.filter("new").isEmpty():
+    state, seen = cut_observed(parents.join(on, "v", "left_semi").join(names, "v").select("v", F.col("p").alias("j"), F.col("name").alias("m"), F.lit(True).alias("new")), new=F.count_if("new"))
+    while seen["new"]:
         far = state.select(F.col("v").alias("j"), F.col("j").alias("k"), F.col("m").alias("fm"))
-        state = cut(state.join(far, "j").select("v", F.col("k").alias("j"), F.least("m", "fm").alias("m"), (F.col("fm") < F.col("m")).alias("new")))
+        step = state.join(far, "j").select("v", F.col("k").alias("j"), F.least("m", "fm").alias("m"), (F.col("fm") < F.col("m")).alias("new"))
+        state, seen = cut_observed(step, new=F.count_if("new"))
     return state.select(F.col("v").alias("on"), F.col("m").alias("label"))
 
 
@@ -78,12 +79,12 @@ def _tour(forest: DataFrame, buckets: int) -> DataFrame:
 
 def _rank(arcs: DataFrame) -> DataFrame:
     """The arcs with n and w summed from themselves to the end of their list, and root known."""
-    state = cut(arcs)
-    while not state.filter("nxt is not null").isEmpty():
+    state, seen = cut_observed(arcs, going=F.count("nxt"))
+    while seen["going"]:
         far = state.select(F.col("arc").alias("nxt"), F.col("nxt").alias("nn"), F.col("root").alias("r"), F.col("n").alias("n2"), F.col("w").alias("w2"))
         step = state.filter("nxt is not null").drop("root").join(far, "nxt")
         step = step.select("arc", F.col("nn").alias("nxt"), F.col("r").alias("root"), (F.col("n") + F.col("n2")).alias("n"), (F.col("w") + F.col("w2")).alias("w"))
-        state = cut(state.filter("nxt is null").unionByName(step))
+        state, seen = cut_observed(state.filter("nxt is null").unionByName(step), going=F.count("nxt"))
     return state
 
 
@@ -143,11 +144,11 @@ class Hierarchy:
         state = self.names.join(self.forest.withColumnRenamed("p", "j"), "v", "left")
         if self.caught is not None:
             state = state.join(self.caught, "v", "left_anti")
-        state = cut(state.select("v", "j", F.col("name").alias("path")))
-        while not state.filter("j is not null").isEmpty():
+        state, seen = cut_observed(state.select("v", "j", F.col("name").alias("path")), going=F.count("j"))
+        while seen["going"]:
             far = state.select(F.col("v").alias("j"), F.col("j").alias("k"), F.col("path").alias("upper"))
             step = state.filter("j is not null").join(far, "j").select("v", F.col("k").alias("j"), F.concat_ws(separator, "upper", "path").alias("path"))
-            state = cut(state.filter("j is null").unionByName(step))
+            state, seen = cut_observed(state.filter("j is null").unionByName(step), going=F.count("j"))
         return self.names.join(state, "v").select(F.col("name").alias("node_id"), "path")
 
     def descendants(self, asked: DataFrame) -> DataFrame:

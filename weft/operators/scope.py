@@ -6,19 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.operators.model import Graph, induced, is_anchor, is_bridge, is_code
-from weft.operators.traverse import BACKWARD, arcs
-from weft.session import cut
+from weft.operators.traverse import BACKWARD, COMPACT, arcs
+from weft.session import cut, cut_observed
 
 
 def _extend(links: DataFrame, seen: DataFrame | None, more: DataFrame) -> DataFrame:
     """``seen`` with ``more`` and all that it reaches; only new nodes are walked from."""
-    frontier = cut(more if seen is None else more.join(seen, "id", "left_anti"))
-    seen = frontier if seen is None else seen.unionByName(frontier)
-    while not frontier.isEmpty():
+    frontier, new = cut_observed(more if seen is None else more.join(seen, "id", "left_anti"))
+    rounds = 0
+    while new["rows"]:
+        rounds += 1
+        seen = frontier if seen is None else seen.unionByName(frontier)
+        if rounds % COMPACT == 0:
+            seen = cut(seen)
         step = frontier.join(links, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct()
-        frontier = cut(step.join(seen, "id", "left_anti"))
-        seen = seen.unionByName(frontier)
-    return cut(seen)
+        frontier, new = cut_observed(step.join(seen, "id", "left_anti"))
+    return seen if seen is not None else frontier
 
 
 def scope_ids(graph: Graph) -> DataFrame:
@@ -34,8 +37,8 @@ def scope_ids(graph: Graph) -> DataFrame:
     touching = lambda ids: around.join(ids, F.col("a") == F.col("id"), "left_semi").select(F.col("b").alias("id")).distinct()
     anchors, bridges = kinds.filter("anchor").select("id"), kinds.filter("bridge").select("id")
     handlers = cut(kinds.filter("code").select("id").join(touching(bridges), "id", "left_semi"))
-    kept = cut(anchors.unionByName(touching(anchors)).distinct())
-    size, reached, reaching = kept.count(), None, None
+    kept, seen = cut_observed(anchors.unionByName(touching(anchors)).distinct())
+    size, reached, reaching = seen["rows"], None, None
     while size:
         reached, reaching = _extend(forward, reached, kept), _extend(backward, reaching, kept)
         if size >= 2:
@@ -44,8 +47,9 @@ def scope_ids(graph: Graph) -> DataFrame:
         added = cut(handlers.join(kept, "id", "left_anti").join(flow, "id", "left_semi"))
         kept = cut(kept.unionByName(added))
         reached = _extend(forward, reached, added)
-        kept = cut(kept.unionByName(bridges.join(kept, "id", "left_anti").join(touching(kept).unionByName(reached), "id", "left_semi")))
-        before, size = size, kept.count()
+        grown = kept.unionByName(bridges.join(kept, "id", "left_anti").join(touching(kept).unionByName(reached), "id", "left_semi"))
+        kept, seen = cut_observed(grown)
+        before, size = size, seen["rows"]
         if size == before:
             break
     return kept

@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.session import cut
+from weft.session import cut, cut_observed
 
 FORWARD, BACKWARD = True, False
+#: After so many rounds the parts of what was seen are written as one.
+COMPACT = 12
 
 
 def arcs(edges: DataFrame, forward: bool = FORWARD) -> DataFrame:
@@ -32,11 +34,13 @@ def walk(edges: DataFrame, starts: DataFrame, *, forward: bool = FORWARD, max_de
     while max_depth is None or depth < max_depth:
         depth += 1
         step = frontier.join(links, F.col("id") == F.col("a")).select("start", F.col("b").alias("id")).distinct()
-        frontier = cut(step.join(seen.select("start", "id"), ["start", "id"], "left_anti").select("start", "id", F.lit(depth).alias("depth")))
-        if frontier.isEmpty():
+        frontier, new = cut_observed(step.join(seen.select("start", "id"), ["start", "id"], "left_anti").select("start", "id", F.lit(depth).alias("depth")))
+        if not new["rows"]:
             break
         found = frontier if found is None else found.unionByName(frontier)
         seen = seen.unionByName(frontier)
+        if depth % COMPACT == 0:
+            found, seen = cut(found), cut(seen)
     return found if found is not None else seen.filter("depth > 0")
 
 
@@ -49,13 +53,16 @@ def reachable(edges: DataFrame, starts: DataFrame, *, forward: bool = FORWARD) -
     """(id): everything that any start reaches, the starts included."""
     links = cut(arcs(edges, forward))
     seen = cut(starts.select("id").distinct())
-    frontier = seen
+    frontier, rounds = seen, 0
     while True:
+        rounds += 1
         step = frontier.join(links, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct()
-        frontier = cut(step.join(seen, "id", "left_anti"))
-        if frontier.isEmpty():
+        frontier, new = cut_observed(step.join(seen, "id", "left_anti"))
+        if not new["rows"]:
             return seen
         seen = seen.unionByName(frontier)
+        if rounds % COMPACT == 0:
+            seen = cut(seen)
 
 
 def connectors(edges: DataFrame, kept: DataFrame) -> DataFrame:
@@ -92,11 +99,10 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        links = cut(small.filter("u <> v").distinct())
-        state = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(state) == before:
+        links, state = cut_observed(small.filter("u <> v").distinct(), digest=F.bit_xor(F.xxhash64("u", "v")))
+        if state == before:
             break
-        before = tuple(state)
+        before = state
     label = links.groupBy("u").agg(F.min("v").alias("m"))
     return nodes.select("id").join(label, F.col("id") == F.col("u"), "left").select("id", F.coalesce("m", "id").alias("component"))
 
@@ -108,16 +114,14 @@ def layers(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None) ->
     after as many as there are nodes.
     """
     links = cut(arcs(edges).filter("a <> b"))
-    state = cut(nodes.select("id").distinct().withColumn("layer", F.lit(0)).withColumn("new", F.lit(True)))
-    rounds = max_rounds if max_rounds is not None else state.count()
-    for _ in range(rounds):
+    state, seen = cut_observed(nodes.select("id").distinct().withColumn("layer", F.lit(0)).withColumn("new", F.lit(True)))
+    for _ in range(max_rounds if max_rounds is not None else seen["rows"]):
         push = state.filter("new").join(links, F.col("id") == F.col("a")).groupBy("b").agg((F.max("layer") + 1).alias("up"))
-        state = cut(
-            state.join(push, F.col("id") == F.col("b"), "left").select(
-                "id", F.greatest("layer", F.coalesce("up", F.lit(0))).alias("layer"), F.coalesce(F.col("up") > F.col("layer"), F.lit(False)).alias("new")
-            )
+        step = state.join(push, F.col("id") == F.col("b"), "left").select(
+            "id", F.greatest("layer", F.coalesce("up", F.lit(0))).alias("layer"), F.coalesce(F.col("up") > F.col("layer"), F.lit(False)).alias("new")
         )
-        if state.filter("new").isEmpty():
+        state, seen = cut_observed(step, grew=F.count_if("new"))
+        if not seen["grew"]:
             break
     return state.select("id", "layer")
 
@@ -137,8 +141,8 @@ def root_paths(nodes: DataFrame, edges: DataFrame, limit: int | None = 80, max_l
     state = roots.join(going, "id", "left").select(F.coalesce("out", F.lit(False)).alias("out"), F.array("id").alias("path"))
     done = None
     for _ in range(max_length):
-        state = cut(state)
-        if state.isEmpty():
+        state, seen = cut_observed(state)
+        if not seen["rows"]:
             break
         onward = state.join(links, F.element_at("path", -1) == F.col("a")).filter(~F.array_contains(F.col("path"), F.col("b")))
         stuck = state.join(onward.select("path").distinct(), "path", "left_anti").select("out", "path")

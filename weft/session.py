@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -47,3 +48,10 @@ def cut(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """As ``cut``, with aggregates of ``df`` that come from the same job; ``rows`` is always among them."""
+    seen = Observation()
+    kept = cut(df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(n) for n, c in metrics.items())))
+    return kept, seen.get
