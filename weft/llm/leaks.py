@@ -15,10 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.session import cut_observed
+
 #: Consecutive words that make a leak.
 GRAM_WORDS = 12
 #: Most words of test items that are broadcast; more are scanned in several passes over the corpus.
 BROADCAST_WORDS = 2_000_000
+#: Leaked documents and spans up to which they are broadcast to the texts; beyond, texts are shuffled to them.
+BROADCAST_SPANS = 1_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -156,7 +160,9 @@ def remove_leaks(documents: DataFrame, leaks: DataFrame, text: Column) -> DataFr
 
     Documents without a leak pass through without Python. Repeated ``doc_id`` rows are cleaned alike.
     """
-    spans = leaks.select("doc_id", F.explode("spans").alias("s")).groupBy("doc_id").agg(F.collect_set("s").alias("spans"))
+    spans, seen = cut_observed(leaks.select("doc_id", F.explode("spans").alias("s")).groupBy("doc_id").agg(F.collect_set("s").alias("spans")), spans=F.sum(F.size("spans")))
+    if seen["rows"] + (seen["spans"] or 0) <= BROADCAST_SPANS:
+        spans = F.broadcast(spans)  # the texts stay where they are
 
     @F.pandas_udf("string")
     def clean(texts, spans):

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.session import cut
+
 #: Folder of the public tokenizers' files, on every machine.
 TOKENIZER_DIR = os.environ.get("WEFT_TOKENIZERS", "/opt/tokenizers")
 #: Ranks of a byte-level BPE vocabulary.
@@ -110,7 +112,7 @@ class Mixture:
             F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).cast("int").alias("max_repeats"),
         )
         named = documents.select(F.col(key), F.col(text).alias("text"), source_name(F.col(source)).alias("source"))
-        self.sizes = token_sizes(named, [key, "source"], folder=folder, name=name)
+        self.sizes = cut(token_sizes(named, [key, "source"], folder=folder, name=name))  # texts are tokenised once
         self._total = total
 
     def plan(self) -> DataFrame:

@@ -111,12 +111,13 @@ canon AS (
 facts AS (
   SELECT c.*, coalesce(t.trust, 0) AS tr, min(fact_id) OVER (PARTITION BY repo, node) AS group_id, count(*) OVER (PARTITION BY repo, node) AS members,
     regexp_replace(file_path, '^\s+|\s+$', '', 'g') AS path_value,
+    to_json(list_sort(list_transform(map_entries(metadata), lambda e: {'key': e.key, 'value': coalesce(e.value, 'null')})))::VARCHAR AS meta_value,
     coalesce(len(list_filter(map_values(metadata), lambda v: v IS NOT NULL AND regexp_matches(v, '\S'))), 0) AS filled
   FROM canon c LEFT JOIN parser_trust t USING (parser)),
 long AS (
   SELECT repo, node, group_id, members, 'file_path' AS field, path_value AS value, 0 AS filled, tr, emitted_at, fact_id FROM facts WHERE regexp_matches(lower(path_value), '\.(py|sql|yml|yaml)$')
   UNION ALL SELECT repo, node, group_id, members, 'line_number', line_number::VARCHAR, 0, tr, emitted_at, fact_id FROM facts WHERE line_number > 0
-  UNION ALL SELECT repo, node, group_id, members, 'metadata', NULL, filled, tr, emitted_at, fact_id FROM facts WHERE filled > 0),
+  UNION ALL SELECT repo, node, group_id, members, 'metadata', meta_value, filled, tr, emitted_at, fact_id FROM facts WHERE filled > 0),
 won AS (
   SELECT *, row_number() OVER (PARTITION BY repo, node, field ORDER BY filled DESC, tr DESC, emitted_at DESC NULLS LAST, fact_id) AS place FROM long)
 """
@@ -141,7 +142,26 @@ item_grams AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lamb
 
 _NAME = r"lower(regexp_replace(source, '^\s+|\s+$', '', 'g'))"
 
+_PIVOT = ", ".join(f"max(value) FILTER (field = '{f}') AS {f}" for f in ("file_path", "line_number", "metadata"))
+
+_VOTES = """
+newest AS (SELECT max(epoch_us(emitted_at)) AS t FROM facts),
+tally AS (
+  SELECT repo, node, field, value, sum(coalesce((tr + 1) * pow(2.0, -((SELECT t FROM newest) - epoch_us(emitted_at)) / 86400000000.0 / 90.0), 0.0)) AS votes FROM long GROUP BY ALL),
+won_votes AS (SELECT *, row_number() OVER (PARTITION BY repo, node, field ORDER BY votes DESC, value) AS place FROM tally)
+"""
+
+
+def _golden_sql(ctes: str, winners: str) -> str:
+    return (
+        f"WITH {_FACTS}{ctes}, nodes AS (SELECT DISTINCT repo, node, group_id, members FROM facts), p AS (SELECT repo, node, {_PIVOT} FROM {winners} WHERE place = 1 GROUP BY repo, node) "
+        "SELECT n.*, file_path, line_number, metadata FROM nodes n LEFT JOIN p ON n.repo IS NOT DISTINCT FROM p.repo AND n.node = p.node"
+    )
+
+
 ORACLE = {
+    "p3_golden": _golden_sql("", "won"),
+    "p3_voted": _golden_sql("," + _VOTES, "won_votes"),
     "p3_found": f"WITH {_FACTS} SELECT group_id, field, fact_id FROM won WHERE place = 1 AND members >= 2",
     "p6_found": f"WITH {_LEAKS} SELECT DISTINCT doc_id, item_id FROM doc_grams JOIN item_grams USING (gram)",
     # sizes in characters: the margins of the shortfalls are wide enough for any measure of size

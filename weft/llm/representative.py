@@ -57,7 +57,7 @@ def unpivot_facts(facts: DataFrame, trust: DataFrame) -> DataFrame:
     known = trust.filter("parser is not null").groupBy("parser").agg(F.max("trust").alias("_trust"))
     parser = F.col("metadata")
     path = _strip(F.col("file_path"))
-    entries = F.array_sort(F.transform(F.map_entries(parser), lambda e: F.struct(e["key"], F.coalesce(e["value"], F.lit("null")))))
+    entries = F.array_sort(F.transform(F.map_entries(parser), lambda e: F.struct(e["key"].alias("key"), F.coalesce(e["value"], F.lit("null")).alias("value"))))
     filled = filled_values(parser)
     fields = F.array(
         F.struct(F.lit("file_path").alias("field"), path.alias("value"), path.rlike(r"(?i)\.(py|sql|yml|yaml)$").alias("usable"), F.lit(0).alias("filled")),
