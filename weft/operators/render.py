@@ -44,7 +44,7 @@ def chains(graph: Graph, limit: int | None = CHAINS) -> DataFrame:
     """(position, chain): root-to-sink paths by their display names, one under the other."""
     from pyspark.sql import Window
 
-    paths = root_paths(graph.nodes, graph.edges, limit).withColumn("key", F.array_join("path", "\u0000"))
+    paths = root_paths(graph.nodes, graph.edges, limit).withColumn("key", F.array_join("path", "\u0001"))
     steps = paths.select("key", F.posexplode("path").alias("k", "id")).join(graph.nodes.select("id", display_name(F.col("name"), F.col("type")).alias("label")), "id", "left")
     texts = steps.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", F.coalesce("label", "id").alias("label")))).alias("s"))
     texts = texts.select("key", F.array_join(F.transform("s", lambda x: x["label"]), "\n   ↓\n").alias("chain"))

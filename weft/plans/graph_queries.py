@@ -273,7 +273,8 @@ def asset_edges(spark, sf):
     return edges.select("source", "target", F.col("confidence").cast("int").alias("confidence"), F.array_join("evidence", "|").alias("evidence"), F.col("metadata")["hops"].alias("hops"))
 
 
-@query()
+@query(f"WITH {ASSET_SQL}, f AS (SELECT source, target, list_append(list_prepend(source, via), target) AS p FROM paths WHERE place = 1) "
+       "SELECT source, target, k::INT AS position, p[k + 1] AS id, p[k + 1] AS name FROM f, range(0, 5) r(k) WHERE k < len(p)")
 def hidden_hops(spark, sf):
     """The nodes behind each contracted edge."""
     g = asset_test_graph(spark, sf)
@@ -300,7 +301,9 @@ def root_sink_paths(spark, sf):
     return traverse.root_paths(g.nodes, g.edges, limit=None).select(F.array_join("path", " > ").alias("path"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_LINKS}, p(path, cur) AS (SELECT [id], id FROM names WHERE id NOT IN (SELECT target FROM pairs) UNION ALL SELECT list_append(path, target), target FROM p JOIN pairs ON source = cur WHERE NOT list_contains(path, target)), "
+       "done AS (SELECT path FROM p WHERE NOT EXISTS (SELECT 1 FROM pairs WHERE source = cur AND NOT list_contains(path, target)) ORDER BY path[1] IN (SELECT source FROM pairs) DESC, path LIMIT 80) "
+       "SELECT row_number() OVER (ORDER BY array_to_string(path, chr(1)))::INT AS position, array_to_string(list_transform(path, lambda x: regexp_extract(x, '([^.]*)$', 1) || CASE WHEN starts_with(x, 'python_function:') AND NOT ends_with(x, '()') THEN '()' ELSE '' END), chr(10) || '   ↓' || chr(10)) AS chain FROM done")
 def chains(spark, sf):
     """The chains that the command line prints, at most 80."""
     return render.chains(_links(spark, sf))
@@ -313,7 +316,8 @@ def components(spark, sf):
     return traverse.components(g.nodes, g.edges)
 
 
-@query()
+@query(f"WITH RECURSIVE {_LINKS}, b AS (SELECT source AS a, target AS b FROM pairs UNION SELECT target, source FROM pairs), r(id) AS (SELECT min(id) FROM names UNION SELECT b FROM r JOIN b ON a = id) "
+       "SELECT id, regexp_extract(id, '([^.]*)$', 1) AS name, regexp_extract(id, '^([^:]*)', 1) AS type FROM r WHERE id IS NOT NULL")
 def focus(spark, sf):
     """The component of one asset, the first by id."""
     g = _links(spark, sf)
@@ -563,14 +567,19 @@ def suggest(spark, sf):
     return resolve.suggest(latest_graph(spark, sf).nodes, "python_function:platform_core.telemetri.emit")
 
 
-@query()
+@query(f"WITH {LATEST_SQL}, {_merged('j', 'ln', 'id')}, obj AS (SELECT id, string_agg(to_json(key)::VARCHAR || ':' || v, ',' ORDER BY key) AS m FROM best_j GROUP BY id), "
+       "n AS (SELECT id, min(nullif(name, '')) AS name, min(nullif(type, '')) AS type, min(nullif(file_path, '')) AS file_path, min(line_number) AS line_number FROM ln GROUP BY id) "
+       "SELECT '{\"id\":' || to_json(id)::VARCHAR || ',\"name\":' || coalesce(to_json(name)::VARCHAR, 'null') || ',\"type\":' || coalesce(to_json(type)::VARCHAR, 'null') || ',\"file_path\":' || coalesce(to_json(file_path)::VARCHAR, 'null') "
+       "|| ',\"line_number\":' || coalesce(line_number::VARCHAR, 'null') || ',\"metadata\":{' || coalesce(m, '') || '}}' AS line FROM n LEFT JOIN obj USING (id)")
 def canonical_json(spark, sf):
     """Canonical JSON objects of the merged nodes of the last scans."""
     g = latest_graph(spark, sf)
     return store.json_rows(Graph(model.merge_nodes(g.nodes), model.merge_edges(g.edges)))[0]
 
 
-@query()
+@query(f"WITH {_LINKS}, c AS (SELECT id, coalesce(nullif(regexp_replace(regexp_replace(id, '[^A-Za-z0-9_]', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'n') AS clean FROM names), "
+       "k AS (SELECT *, row_number() OVER (PARTITION BY clean ORDER BY id) AS n FROM c) SELECT id, replace(regexp_extract(id, '([^.]*)$', 1), chr(34), chr(39)) || CASE WHEN starts_with(id, 'python_function:') AND NOT ends_with(id, '()') THEN '()' ELSE '' END AS label, "
+       "CASE WHEN n = 1 THEN clean ELSE clean || '_' || n END AS shown FROM k")
 def mermaid_nodes(spark, sf):
     """Ids and labels of a drawing of the asset links."""
     return render.mermaid_nodes(_links(spark, sf).nodes)
