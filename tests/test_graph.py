@@ -79,7 +79,7 @@ def test_components_and_layers_against_brute_force(spark):
     got = {r["id"]: r["layer"] for r in traverse.layers(g.nodes, edges(spark, down)).collect()}
     assert got == depth
     cyclic = traverse.layers(g.nodes.limit(0).unionByName(nodes(spark, [("a", "a", "t"), ("b", "b", "t")])), edges(spark, [("a", "b"), ("b", "a")]))
-    assert len(cyclic.collect()) == 2
+    assert [tuple(r) for r in cyclic.orderBy("id").collect()] == [("a", 0), ("b", 0)]
     assert traverse.components(g.nodes.limit(0), g.edges.limit(0)).collect() == []
 
 
@@ -158,3 +158,20 @@ def test_views(spark):
     cited = spark.createDataFrame([("f.py", 2), ("f.py", 20), ("f.py", 99), ("../x", 1)], "file_path string, line_number int")
     got = {r["line_number"]: (r["first_line"], r["excerpt"].split("\n")) for r in views.excerpts(cited, files).collect()}
     assert got == {2: (1, [str(i) for i in range(1, 8)]), 20: (15, [str(i) for i in range(15, 26)])}
+
+
+def test_column_order_follows_neighbours(spark):
+    e = edges(spark, [("a", "y"), ("b", "x"), ("c", "z:silver.t"), ("c", "w")])
+    placed = spark.createDataFrame([(i, "k", int(i not in "abc")) for i in ("a", "b", "c", "x", "y", "w", "z:silver.t")], "id string, component string, layer int")
+    got = {r["id"]: r["position"] for r in traverse.column_order(placed, e).collect()}
+    assert got == {"c": 0, "b": 1, "a": 2, "z:silver.t": 0, "w": 1, "x": 2, "y": 3}
+    assert traverse.column_order(placed.limit(0), e).collect() == []
+
+
+def test_layout_packs_components_and_single_nodes(spark):
+    g = graph(spark, dict.fromkeys(["a", "b", "c", "p", "q", "s1", "s2"], "t"), [("a", "b"), ("a", "c"), ("p", "q"), ("q", "p")])
+    got = {r["id"]: (r["x"], r["y"]) for r in views.layout(g).collect()}
+    assert got["a"] == (0, 0) and got["b"] == (274, 0) and got["c"] == (274, 88)
+    assert got["p"][0] >= 274 + 188 + 120 and got["q"][0] > got["p"][0] and got["s1"][0] == got["s2"][0] and got["s2"][1] == got["s1"][1] + 88
+    assert views.pack_blocks([("a", 5000, 100), ("b", 300, 50), ("c", 300, 1700)]) == {"a": (0, 0), "b": (0, 190), "c": (0, 330)}
+    assert views.layout(graph(spark, {}, [])).collect() == []

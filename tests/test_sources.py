@@ -193,6 +193,25 @@ def test_dbt_references():
     assert dbtfacts.manifest_facts("x", "{")[0]["kind"] == "warning"
 
 
+@pytest.mark.parametrize("text", ["{{ref('a')}}", "{{ ref ( 'a' , ) }}", "{{- REF(\n'p' ,\n 'a') -}}", "{{ ref('a', v=2) }}", "{{ ref(\"a\")"])
+def test_spellings_of_references(text):
+    assert list(dbtfacts.references(text)) == [("ref", "a", 1)]
+
+
+def test_extractors_can_be_added_and_may_fail(spark):
+    from weft.sources import repository
+
+    before = list(repository.EXTRACTORS)
+    try:
+        repository.register_extractor(repository.Extractor("lines", lambda p, t, d: p.endswith(".txt"), lambda p, t: [{"kind": "node", "parser": "lines", "id": f"text:{p}", "name": p, "type": "text"}]))
+        repository.register_extractor(repository.Extractor("broken", lambda p, t, d: True, lambda p, t: 1 / 0))
+        df = spark.createDataFrame([("a.txt", "x"), ("b.py", None)], "path string, content string")
+        rows = repository.extract_facts(df).collect()
+        assert [(r["kind"], r["id"] or r["message"]) for r in rows] == [("node", "text:a.txt"), ("warning", "Warning: broken failed on a.txt: ZeroDivisionError")]
+    finally:
+        repository.EXTRACTORS[:] = before
+
+
 def write(root, files):
     for path, text in files.items():
         full = os.path.join(root, path)
@@ -241,6 +260,8 @@ def test_file_listing(spark, tmp_path):
     assert "src/app/__init__.py" in rel and "sql/mart.SQL" in rel and "weft.yml" not in rel and not [p for p in rel if "venv" in p or "egg" in p or "node_modules" in p or p.startswith("loop")]
     assert [p for p, _ in list_files(root, ["**/*.sql"], ["dbt/**"])[0]] == ["sql/broken.sql"]
     assert list_files(os.path.join(root, "missing"))[1]
+    write(tmp_path, {"dbt/target/manifest.json": "{}"})
+    assert "dbt/target/manifest.json" in [p for p, _ in list_files(root)[0]]
     rows = {r["path"]: r for r in repository_files(spark, root, Config(include=["*.py"])).collect()}
     assert rows["bad.py"]["warning"].endswith("not UTF-8") and rows["unused.py"]["content"].startswith("def helper")
     few = spark.read.format("repo_files").options(path=root, maxbytes="10").load().filter("path = 'jobs/orders.py'").first()

@@ -169,7 +169,7 @@ LAYERS = ("bronze", "silver", "gold")
 
 def layer_of(identifier: Column) -> Column:
     """bronze, silver or gold if the part after the type begins with it or has it as an inner dotted part; else null."""
-    part = F.regexp_replace(identifier, r"^[^:]*:", "")
+    part = F.lower(F.regexp_replace(identifier, r"^[^:]*:", ""))
     out = F.lit(None).cast("string")
     for layer in reversed(LAYERS):
         out = F.when(part.startswith(layer + ".") | part.contains(f".{layer}."), F.lit(layer)).otherwise(out)

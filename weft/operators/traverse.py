@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.functions.ids import LAYERS, layer_of
 from weft.session import cut, cut_observed
 
 FORWARD, BACKWARD = True, False
@@ -107,22 +108,26 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(label, F.col("id") == F.col("u"), "left").select("id", F.coalesce("m", "id").alias("component"))
 
 
-def layers(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """(id, layer): the longest distance from a root, 0 without incoming edges.
+def layers(nodes: DataFrame, edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """(id, layer): the longest distance from a root, a node without incoming edges or one of ``starts`` (id).
 
-    Only nodes whose layer grew pass it on. On a cycle layers would grow for ever: rounds end after ``max_rounds``, or
-    after as many as there are nodes.
+    A node passes its layer on once all its predecessors have, so there are as many rounds as layers, also where there
+    are cycles. Nodes on a cycle without a start, and behind one, have the layer that finished predecessors give, or 0.
     """
-    links = cut(arcs(edges).filter("a <> b"))
-    state, seen = cut_observed(nodes.select("id").distinct().withColumn("layer", F.lit(0)).withColumn("new", F.lit(True)))
-    for _ in range(max_rounds if max_rounds is not None else seen["rows"]):
-        push = state.filter("new").join(links, F.col("id") == F.col("a")).groupBy("b").agg((F.max("layer") + 1).alias("up"))
+    links = arcs(edges).filter("a <> b")
+    if starts is not None:
+        links = links.join(starts.select(F.col("id").alias("b")), "b", "left_anti")
+    links = cut(links.select("a", "b"))
+    waiting = links.groupBy(F.col("b").alias("id")).agg(F.count(F.lit(1)).alias("waiting"))
+    state = nodes.select("id").distinct().join(waiting, "id", "left").select("id", F.lit(0).alias("layer"), F.coalesce("waiting", F.lit(0)).alias("waiting"))
+    state, seen = cut_observed(state.withColumn("new", F.col("waiting") == 0), ready=F.count_if("new"))
+    while seen["ready"]:
+        push = state.filter("new").join(links, F.col("id") == F.col("a")).groupBy("b").agg((F.max("layer") + 1).alias("up"), F.count(F.lit(1)).alias("done"))
+        left = F.col("waiting") - F.coalesce("done", F.lit(0))
         step = state.join(push, F.col("id") == F.col("b"), "left").select(
-            "id", F.greatest("layer", F.coalesce("up", F.lit(0))).alias("layer"), F.coalesce(F.col("up") > F.col("layer"), F.lit(False)).alias("new")
+            "id", F.greatest("layer", F.coalesce("up", F.lit(0))).alias("layer"), left.alias("waiting"), ((F.col("waiting") > 0) & (left == 0)).alias("new")
         )
-        state, seen = cut_observed(step, grew=F.count_if("new"))
-        if not seen["grew"]:
-            break
+        state, seen = cut_observed(step, ready=F.count_if("new"))
     return state.select("id", "layer")
 
 
@@ -155,20 +160,26 @@ def root_paths(nodes: DataFrame, edges: DataFrame, limit: int | None = 80, max_l
 
 
 def column_order(placed: DataFrame, edges: DataFrame, sweeps: int = 3) -> DataFrame:
-    """(id, component, layer, position): places within layers after barycentre sweeps over neighbours in earlier layers.
+    """(id, component, layer, position): places within layers after barycentre sweeps.
 
-    ``placed``: (id, component, layer). Ties and nodes without such neighbours keep the order of ids.
+    ``placed``: (id, component, layer). Sweeps go forward over incoming and backward over outgoing neighbours in turn,
+    layer by layer, each seeing the places of the layers before it. A node without such neighbours takes the others, and
+    without any keeps its place. Ties go by bronze, silver, gold and the rest, then by id. One job a layer and sweep.
     """
-    order = Window.partitionBy("component", "layer").orderBy("weight", "id")
-    state = placed.withColumn("weight", F.lit(0.0)).withColumn("position", F.row_number().over(order) - 1)
-    links = arcs(edges)
-    for _ in range(sweeps):
-        left = state.select(F.col("id").alias("a"), F.col("layer").alias("la"), F.col("position").alias("pa"))
-        right = state.select(F.col("id").alias("b"), F.col("layer").alias("lb"))
-        pull = links.join(left, "a").join(right, "b").filter("la < lb").groupBy("b").agg(F.avg("pa").alias("mean"))
-        state = cut(
-            state.join(pull, F.col("id") == F.col("b"), "left")
-            .select("id", "component", "layer", F.coalesce("mean", F.col("position").cast("double")).alias("weight"))
-            .withColumn("position", F.row_number().over(order) - 1)
-        )
+    layer_rank = F.coalesce(F.array_position(F.array(*(F.lit(x) for x in LAYERS)), layer_of(F.col("id"))), F.lit(len(LAYERS) + 1))
+    order = Window.partitionBy("component", "layer").orderBy("weight", "tie", "id")
+    state = placed.select("id", "component", "layer", layer_rank.alias("tie"), F.lit(0.0).alias("weight"))
+    state, seen = cut_observed(state.withColumn("position", F.row_number().over(order) - 1), last=F.max("layer"))
+    links = cut(arcs(edges))
+    for sweep in range(sweeps if seen["rows"] else 0):
+        forward = sweep % 2 == 0
+        for layer in range(seen["last"] + 1) if forward else range(seen["last"], -1, -1):
+            own = state.filter(F.col("layer") == layer)
+            near = own.select("id").join(links.select(F.col("b").alias("id"), F.col("a").alias("other"), F.lit(forward).alias("side")), "id")
+            far = own.select("id").join(links.select(F.col("a").alias("id"), F.col("b").alias("other"), F.lit(not forward).alias("side")), "id")
+            place = state.select(F.col("id").alias("other"), F.col("position").alias("at"))
+            mean = near.unionByName(far).join(place, "other").groupBy("id").agg(F.avg(F.when(F.col("side"), F.col("at"))).alias("m"), F.avg(F.when(~F.col("side"), F.col("at"))).alias("n"))
+            moved = own.drop("weight").join(mean, "id", "left").withColumn("weight", F.coalesce("m", "n", F.col("position").cast("double")))
+            moved = moved.withColumn("position", F.row_number().over(order) - 1).select(*state.columns)
+            state = cut(state.filter(F.col("layer") != layer).unionByName(moved))
     return state.select("id", "component", "layer", "position")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.ids import display_name, layer_of
 from weft.operators.model import Graph, induced
-from weft.operators.traverse import BACKWARD, arcs, components, walk
+from weft.operators.traverse import BACKWARD, arcs, column_order, components, layers, walk
 
 
 def with_context(graph: Graph, matches: DataFrame) -> Graph:
@@ -103,3 +103,48 @@ def suffixed_ids(nodes: DataFrame, cleaned: Column) -> DataFrame:
     order = Window.partitionBy("clean").orderBy("id")
     numbered = nodes.select("id", cleaned.alias("clean")).withColumn("n", F.row_number().over(order))
     return numbered.select("id", F.when(F.col("n") == 1, F.col("clean")).otherwise(F.concat("clean", F.lit("_"), "n")).alias("shown"))
+
+
+# Boxes of the drawing, gaps between them and between components, and where rows of components wrap; fixed values.
+BOX_WIDTH, BOX_HEIGHT, GAP_X, GAP_Y = 188, 52, 86, 36
+BLOCK_GAP_X, BLOCK_GAP_Y = 120, 90
+MAX_ROW_WIDTH, MAX_ROW_HEIGHT = 5200, 1600
+
+
+def pack_blocks(blocks: list[tuple[str, int, int]]) -> dict[str, tuple[int, int]]:
+    """Left and top of each block (name, width, height), put in rows that wrap when they get too wide or high."""
+    out, top, left, height = {}, 0, 0, 0
+    for name, w, h in blocks:
+        if left and (left + w > MAX_ROW_WIDTH or (height and max(height, h) > MAX_ROW_HEIGHT)):
+            top, left, height = top + height + BLOCK_GAP_Y, 0, 0
+        out[name] = (left, top)
+        left, height = left + w + BLOCK_GAP_X, max(height, h)
+    return out
+
+
+def layout(graph: Graph) -> DataFrame:
+    """(id, component, x, y): boxes in columns by layer, larger components first, single nodes as a grid at the end.
+
+    Places are computed on executors; only the size of each component that is drawn comes to the driver for packing.
+    """
+    from pyspark.sql import Window
+
+    labels = components(graph.nodes, graph.edges)
+    size = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    labels = labels.join(size, "component")
+    grouped, single = labels.filter("size > 1"), labels.filter("size = 1")
+    heads = graph.edges.select(F.col("target").alias("id")).filter("source <> target")
+    rooted = grouped.join(heads, "id", "left_anti").select("id", "component")
+    headless = grouped.select("component").distinct().join(rooted, "component", "left_anti").select(F.col("component").alias("id"))
+    placed = layers(grouped, graph.edges, starts=headless).join(grouped.select("id", "component"), "id")
+    ordered = column_order(placed, graph.edges)
+    column = F.dense_rank().over(Window.partitionBy("component").orderBy("layer")) - 1
+    boxes = ordered.select("id", "component", (column * (BOX_WIDTH + GAP_X)).alias("x"), (F.col("position") * (BOX_HEIGHT + GAP_Y)).alias("y"))
+    count = single.count()
+    rows = -(-count // max(1, -(-count // max(1, MAX_ROW_HEIGHT // (BOX_HEIGHT + GAP_Y))))) if count else 1
+    at = F.row_number().over(Window.orderBy("id")) - 1
+    grid = single.select("id", F.lit("").alias("component"), (F.floor(at / rows).cast("int") * (BOX_WIDTH + GAP_X)).alias("x"), (at % rows * (BOX_HEIGHT + GAP_Y)).alias("y"))
+    extent = lambda df: df.groupBy("component").agg((F.max("x") + BOX_WIDTH).alias("w"), (F.max("y") + BOX_HEIGHT).alias("h"), F.count(F.lit(1)).alias("n"))
+    blocks = [tuple(r)[:3] for r in extent(boxes).orderBy(F.col("n").desc(), F.col("w").desc(), "component").collect()] + [tuple(r)[:3] for r in extent(grid).collect()]
+    corners = graph.nodes.sparkSession.createDataFrame([(c, x, y) for c, (x, y) in pack_blocks(blocks).items()], "component string, left int, top int")
+    return boxes.unionByName(grid).join(corners, "component").select("id", "component", (F.col("x") + F.col("left")).alias("x"), (F.col("y") + F.col("top")).alias("y"))

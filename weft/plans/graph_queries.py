@@ -335,12 +335,13 @@ def layers(spark, sf):
     return traverse.layers(g.nodes, g.edges)
 
 
-def _order_sql(sweeps: int = 3) -> str:
+def _order_sql() -> str:
     out = [_LAYERS, "o0 AS (SELECT id, layer, row_number() OVER (PARTITION BY layer ORDER BY id) - 1 AS position FROM layered)"]
-    for i in range(sweeps):
-        out.append(f"m{i} AS (SELECT y.id, avg(x.position) AS mean FROM fk JOIN o{i} x ON x.id = source JOIN o{i} y ON y.id = target WHERE x.layer < y.layer GROUP BY y.id)")
-        out.append(f"o{i + 1} AS (SELECT id, layer, row_number() OVER (PARTITION BY layer ORDER BY coalesce(mean, position::DOUBLE), id) - 1 AS position FROM o{i} LEFT JOIN m{i} USING (id))")
-    return "WITH RECURSIVE " + ", ".join(out) + f" SELECT id, 'all' AS component, layer, position::INT AS position FROM o{sweeps}"
+    for i, (layer, side) in enumerate([(x, 0) for x in range(4)] + [(x, 1) for x in (3, 2, 1, 0)] + [(x, 0) for x in range(4)]):
+        own, other = (("target", "source"), ("source", "target"))[side]
+        out.append(f"a{i} AS (SELECT {own} AS id, avg(position) AS m FROM fk JOIN o{i} ON o{i}.id = {other} GROUP BY {own}), b{i} AS (SELECT {other} AS id, avg(position) AS m FROM fk JOIN o{i} ON o{i}.id = {own} GROUP BY {other})")
+        out.append(f"o{i + 1} AS (SELECT id, layer, CASE WHEN layer = {layer} THEN row_number() OVER (PARTITION BY layer ORDER BY coalesce(a{i}.m, b{i}.m, position::DOUBLE), id) - 1 ELSE position END AS position FROM o{i} LEFT JOIN a{i} USING (id) LEFT JOIN b{i} USING (id))")
+    return "WITH RECURSIVE " + ", ".join(out) + " SELECT id, 'all' AS component, layer, position::INT AS position FROM o12"
 
 
 @query(_order_sql())
@@ -351,6 +352,12 @@ def column_order(spark, sf):
     return traverse.column_order(placed, g.edges)
 
 
+@query()
+def layout(spark, sf):
+    """Boxes of a drawing of the rows and their references."""
+    return views.layout(fk_graph(spark, sf))
+
+
 @query(f"WITH {JOURNEY_SQL} SELECT source, array_to_string(list_sort(list(target)), ',') AS targets FROM journey GROUP BY source")
 def adjacency_lists(spark, sf):
     """Sorted neighbours of every step."""

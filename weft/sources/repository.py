@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -17,16 +17,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from weft.functions.ids import glob_regex
+from weft.sources import dbtfacts
+from weft.sources.pyfacts import python_facts
 
 #: Directories that hold no sources of a repository; fixed values.
 IGNORED_DIRS = frozenset(
-    """.git .hg .svn .venv venv env node_modules __pycache__ .mypy_cache .pytest_cache .ruff_cache .tox .nox dist build site-packages .eggs
-    .idea .vscode dbt_packages htmlcov""".split()
+    """.git .venv venv node_modules dist build __pycache__ .pytest_cache .mypy_cache .ruff_cache .next .cursor .eggs .idea .vscode .tox .nox htmlcov
+    site-packages graphify-out .weft""".split()
 )
 SUFFIXES = (".py", ".sql", ".yml", ".yaml")
 #: Larger files are skipped with a warning; fixed value.
 MAX_BYTES = 10 * 1024 * 1024
 CONFIG_FILE = "weft.yml"
+#: Where a dbt project keeps what it compiled; read beside the project file if it is there.
+MANIFEST = "target/manifest.json"
 
 FILE_SCHEMA = "path string, abs_path string, length long, content string, warning string"
 FACT_SCHEMA = (
@@ -115,6 +119,9 @@ def list_files(root: str, include: list[str] = (), exclude: list[str] = ()) -> t
                 if (include and not _matches(own, list(include))) or _matches(own, list(exclude)):
                     continue
                 found.append((own, os.path.abspath(full)))
+                manifest = os.path.join(folder, MANIFEST)
+                if name.lower() in ("dbt_project.yml", "dbt_project.yaml") and os.path.isfile(manifest):
+                    found.append((f"{rel}/{MANIFEST}" if rel else MANIFEST, os.path.abspath(manifest)))
 
     walk(root, "")
     return found, warnings
@@ -176,22 +183,47 @@ def repository_files(spark: SparkSession, root: str, config: Config | None = Non
     return spark.read.format("repo_files").options(path=root, include="\n".join(config.include), exclude="\n".join(config.exclude)).load()
 
 
-def facts_of(path: str, text: str, in_dbt: bool) -> list[dict]:
-    """The facts of one file by all extractors that claim it."""
-    from weft.sources import dbtfacts
-    from weft.sources.pyfacts import python_facts
+@dataclass(frozen=True)
+class Extractor:
+    """One kind of facts: whether it claims a file, and the facts of a text.
 
-    name, low = path.rpartition("/")[2], path.lower()
-    if low.endswith(".py"):
-        return python_facts(path, text)
-    if low.endswith(".sql"):
-        jinja = dbtfacts.is_jinja(text)
-        return ([] if jinja else dbtfacts.sql_file_facts(path, text)) + (dbtfacts.model_facts(path, text) if jinja or in_dbt else [])
-    if low.endswith((".yml", ".yaml")) and in_dbt and name not in dbtfacts.SKIPPED_YAML:
-        return dbtfacts.source_yaml_facts(path, text)
-    if name == "manifest.json":
-        return dbtfacts.manifest_facts(path, text)
-    return []
+    ``claims(path, text, in_dbt)`` and ``facts(path, text)`` run on executors, so they must be importable there.
+    """
+
+    name: str
+    claims: Callable[[str, str, bool], bool]
+    facts: Callable[[str, str], list[dict]]
+
+
+def _suffix(path: str, *suffixes: str) -> bool:
+    return path.lower().endswith(suffixes)
+
+
+#: All extractors that claim a file read it, in this order.
+EXTRACTORS: list[Extractor] = [
+    Extractor("python", lambda path, text, in_dbt: _suffix(path, ".py"), python_facts),
+    Extractor("sql", lambda path, text, in_dbt: _suffix(path, ".sql") and not dbtfacts.is_jinja(text), dbtfacts.sql_file_facts),
+    Extractor("dbt_model", lambda path, text, in_dbt: _suffix(path, ".sql") and (in_dbt or dbtfacts.is_jinja(text)), dbtfacts.model_facts),
+    Extractor("dbt_sources", lambda path, text, in_dbt: in_dbt and _suffix(path, ".yml", ".yaml") and path.rpartition("/")[2] not in dbtfacts.SKIPPED_YAML, dbtfacts.source_yaml_facts),
+    Extractor("dbt_manifest", lambda path, text, in_dbt: path == MANIFEST or path.endswith("/" + MANIFEST), dbtfacts.manifest_facts),
+]
+
+
+def register_extractor(extractor: Extractor) -> None:
+    """Adds an extractor after the others; one of the same name is replaced."""
+    EXTRACTORS[:] = [e for e in EXTRACTORS if e.name != extractor.name] + [extractor]
+
+
+def facts_of(path: str, text: str, in_dbt: bool, extractors: list[Extractor] | None = None) -> list[dict]:
+    """The facts of one file by all extractors that claim it; one that fails gives a warning and the others go on."""
+    out: list[dict] = []
+    for e in EXTRACTORS if extractors is None else extractors:
+        try:
+            if e.claims(path, text, in_dbt):
+                out += e.facts(path, text)
+        except Exception as error:  # noqa: BLE001
+            out.append({"kind": "warning", "parser": e.name, "message": f"Warning: {e.name} failed on {path}: {type(error).__name__}"})
+    return out
 
 
 def dbt_projects(files: DataFrame, keys: list[str]) -> DataFrame:
@@ -221,12 +253,14 @@ def extract_facts(files: DataFrame, keys: list[str] = ()) -> DataFrame:
         ("metadata", pa.map_(pa.string(), pa.string())), ("message", pa.string()),
     ]
 
+    extractors = list(EXTRACTORS)
+
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[dict] = []
             index: list[int] = []
             for i, (path, text, in_dbt) in enumerate(zip(*(batch.column(n + k).to_pylist() for k in range(3)))):
-                for seq, fact in enumerate(facts_of(path, text, in_dbt)):
+                for seq, fact in enumerate(facts_of(path, text, in_dbt, extractors)):
                     rows.append(fact | {"file": path, "seq": seq, "line_number": fact.get("line")})
                     index.append(i)
             own = [c.take(pa.array(index, pa.int64())) for c in batch.columns[:n]]
