@@ -102,6 +102,18 @@ def test_shares_caps_and_shortfalls(spark):
     assert Counter(r["source"] for r in rows)["web"] == plan["web"]["taken"]
 
 
+def test_the_corpus_holds_whole_documents(spark):
+    docs = [(i, " Web\t", f"text {i}", f"own {i}", i) for i in range(300)] + [(7, "web", "same key", "", 0), (None, "web", "no key", "", 0), (400, "web", None, None, None), (401, "other", "x", "", 0)]
+    m = mixture(spark, docs, [("web", 2.0, 4)])
+    rows = m.corpus().collect()
+    got = Counter((r["doc_id"], r["document_source"], r["text"], r["document_tokens"], r["copies"]) for r in rows)
+    times = {(r["doc_id"]): r["copies"] for r in m.counts(m.plan()).collect()}
+    assert got == Counter({d: times[d[0]] for d in docs if times.get(d[0])}) and len(rows) > 400
+    encoding = mixing._encoding(mixing.TOKENIZER_DIR, mixing.TOKENIZER_FILE)
+    assert all(r["tokens"] == len(encoding.encode_ordinary(r["text"] or "")) and r["source"] == "web" for r in rows)
+    assert [r["position"] for r in rows] == sorted(r["position"] for r in rows)
+
+
 def test_empty_mixtures_and_double_targets(spark):
     assert [tuple(r)[:3] for r in mixture(spark, [], [("a", 1.0, 2)]).report().collect()] == [("a", 1.0, 0.0)]
     assert mixture(spark, [], [("a", 1.0, 2)]).corpus().collect() == []

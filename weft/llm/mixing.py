@@ -3,8 +3,8 @@
 Sizes in tokens are summed per source. A source needs ``rate = share * total / size`` copies of each document on
 average. Each document gets a count by inverting a Poisson distribution at a hash-seeded uniform number, cut off at
 the largest number of repeats; the Poisson mean is solved so that the mean of the cut-off counts is the rate. Where the
-rate exceeds the cap, every document is taken as often as allowed and the shortfall is reported. Documents are exploded
-by their counts and shuffled globally by a hash.
+rate exceeds the cap, every document is taken as often as allowed and the shortfall is reported. Whole documents are
+exploded by their counts and shuffled globally by a hash.
 """
 
 from __future__ import annotations
@@ -106,7 +106,8 @@ class Mixture:
 
     def __init__(self, documents: DataFrame, targets: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text",
                  seed: int = 7, total: int | None = None, folder: str = TOKENIZER_DIR, name: str = TOKENIZER_FILE):
-        self.key, self.seed = key, seed
+        self.key, self.seed, self.source, self.text = key, seed, source, text
+        self.documents, self.folder, self.name = documents, folder, name
         self.goals = targets.filter("source is not null").select(
             source_name(F.col("source")).alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"),
             F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).cast("int").alias("max_repeats"),
@@ -142,9 +143,12 @@ class Mixture:
 
     def counts(self, plan: DataFrame) -> DataFrame:
         """(key, source, tokens, copies): how often each document of a named source is taken, 0 included."""
-        uniform = (F.pmod(F.xxhash64(F.lit(self.seed), F.col(self.key)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-        chosen = self.sizes.join(F.broadcast(plan.select("source", "steps")), "source").withColumn("u", uniform)
-        return chosen.select(self.key, "source", "tokens", F.size(F.filter("steps", lambda s: s <= F.col("u"))).alias("copies"))
+        chosen = self.sizes.join(F.broadcast(plan.select("source", "steps")), "source")
+        return chosen.select(self.key, "source", "tokens", self._copies(F.col(self.key), F.col("steps")).alias("copies"))
+
+    def _copies(self, key: Column, steps: Column) -> Column:
+        uniform = (F.pmod(F.xxhash64(F.lit(self.seed), key), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+        return F.size(F.filter(steps, lambda s: s <= uniform))
 
     def report(self) -> DataFrame:
         """(source, target_share, actual_share, documents, taken, tokens, wanted, mixed_tokens, short), one row a target.
@@ -162,6 +166,29 @@ class Mixture:
         )
 
     def corpus(self) -> DataFrame:
-        """(position, key, source, copy, tokens): the mixed corpus in its global order; every copy is its own row."""
-        rows = self.counts(self.plan()).filter("copies > 0").select(self.key, "source", "tokens", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-        return rows.withColumn("position", F.xxhash64(F.lit(self.seed + 1), F.col(self.key), F.col("copy"))).sort("position", self.key, "copy")
+        """The mixed corpus in its global order: position, copy, source, tokens and every column of ``documents``.
+
+        Every copy is a row of its own with the whole document. ``source`` is the name that was compared. A column of
+        ``documents`` with one of the first four names, as its source, is called ``document_`` and its name.
+        """
+        own, names = ("position", "copy", "source", "tokens"), {}
+        for column in self.documents.columns:
+            name = column
+            while name.lower() in own or (name != column and name.lower() in map(str.lower, self.documents.columns)):
+                name = f"document_{name}"
+            names[column] = name
+        key, text = names[self.key], names[self.text]
+        whole = self.documents.toDF(*names.values()).withColumn("source", source_name(F.col(names[self.source])))
+        # counts follow from key and source, so texts are not joined to them; only taken texts are shuffled, once
+        goals = self.plan().select("source", F.col("steps").alias("_steps"))
+        copies = self._copies(F.col(key), F.col("_steps"))
+        taken = whole.join(F.broadcast(goals), "source").withColumn("copy", F.explode(F.sequence(F.lit(0), copies))).filter("copy > 0")
+        placed = taken.withColumn("position", F.xxhash64(F.lit(self.seed + 1), F.col(key), F.col("copy"))).sort("position", key, "copy")
+        folder, name = self.folder, self.name
+
+        @F.arrow_udf("long")
+        def tokens(texts: pa.Array) -> pa.Array:
+            encoding = _encoding(folder, name)
+            return pa.array([len(encoding.encode_ordinary(t)) if t else 0 for t in texts.to_pylist()], pa.int64())
+
+        return placed.select("position", "copy", "source", tokens(text).alias("tokens"), *names.values())

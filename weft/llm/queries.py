@@ -78,7 +78,7 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mixed corpus in its global order, a row for each copy."""
+    """The mixed corpus in its global order, a row with the whole document for each copy."""
     return _mixture(spark, sf_dir).corpus()
 
 
