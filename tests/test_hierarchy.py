@@ -3,6 +3,7 @@ import random
 import pytest
 
 from weft.operators.hierarchy import Hierarchy
+from weft.plans.registry import core_queries
 
 
 def brute(links):
@@ -81,3 +82,17 @@ def test_empty(spark):
     tree = Hierarchy(df, "source", "target")
     assert tree.nodes().collect() == [] and tree.paths().collect() == []
     assert check(spark, [(None, "a")]).keys() == {"a"}
+
+
+def test_descendants_of_every_node(spark):
+    links = [(f"c{i}", f"c{i + 1}") for i in range(9)] + [("c0", "x"), ("c4", "y"), ("other", "z"), ("k", "l"), ("l", "k"), ("l", "m"), (None, "alone")]
+    got = [tuple(r) for r in Hierarchy(spark.createDataFrame(links, "source string, target string"), "source", "target").descendants().collect()]
+    want = {(f"c{i}", f"c{j}") for i in range(10) for j in range(i + 1, 10)} | {("c0", "x"), ("other", "z")} | {(f"c{i}", "y") for i in range(5)}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_every_asset_is_asked_for_its_descendants(spark, tmp_path):
+    links = spark.createDataFrame([(1, "a", "b"), (2, "b", "c"), (50, "r", "s")], "edge_id long, source string, target string")
+    links.write.parquet(str(tmp_path / "asset_edges.parquet"))
+    got = {tuple(r) for r in core_queries()["p5_all_descendants"](spark, str(tmp_path)).collect()}
+    assert got == {("a", "b"), ("a", "c"), ("b", "c"), ("r", "s")}

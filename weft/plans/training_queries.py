@@ -57,13 +57,18 @@ def p5_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All descendants of the roots whose link has an ``edge_id`` divisible by 50, by interval containment."""
+    """All descendants of the parents of links whose ``edge_id`` is divisible by 50: a sample of ``p5_all_descendants``."""
     links = table(spark, sf_dir, "asset_edges")
     asked = links.filter("edge_id % 50 = 0").select(F.regexp_replace("source", r"(?U)^\s+|\s+$", "").alias("node_id"))
     return Hierarchy(links, "source", "target").descendants(asked)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_change_counts, p2_found, p2_key_profile, p5_found, p5_hierarchy, p5_descendants)}
+def p5_all_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All descendants of every asset outside cycles."""
+    return Hierarchy(table(spark, sf_dir, "asset_edges"), "source", "target").descendants()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_change_counts, p2_found, p2_key_profile, p5_found, p5_hierarchy, p5_descendants, p5_all_descendants)}
 
 _SNAPSHOTS = """
 headers AS (SELECT scan_id, any_value(repo) AS repo, any_value(scan_timestamp)::TIMESTAMPTZ AS instant FROM scans GROUP BY scan_id),
@@ -121,4 +126,6 @@ ORACLE = {
     "p5_descendants": f"WITH RECURSIVE {_TREES}, asked AS (SELECT DISTINCT p AS v FROM ends WHERE edge_id % 50 = 0 AND p IN (SELECT v FROM placed)), "
     "below(a, v) AS (SELECT q.v, c.v FROM asked q JOIN parents c ON c.p = q.v UNION SELECT b.a, c.v FROM below b JOIN parents c ON c.p = b.v) "
     "SELECT a AS ancestor_id, v AS node_id FROM below",
+    "p5_all_descendants": f"WITH RECURSIVE {_TREES}, below(a, v) AS (SELECT p, v FROM parents WHERE v IN (SELECT v FROM placed) "
+    "UNION SELECT b.a, c.v FROM below b JOIN parents c ON c.p = b.v) SELECT a AS ancestor_id, v AS node_id FROM below",
 }
