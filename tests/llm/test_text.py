@@ -246,6 +246,15 @@ def test_votes_sum_per_value(spark):
     assert (won["file_path"]["value"], won["file_path"]["members"], won["metadata"]["value"]) == ("b.py", 5, None)
 
 
+def test_votes_are_summed_once(spark):
+    # sums that differ between two evaluations, as floating-point sums in another order do, must not lose the winner
+    rows = [(i, repo, "p", "x", "n", "t", f"{i % 3}.py", 1, None, at(1)) for repo in ("r", None) for i in range(9)]
+    shaken = F.udf(lambda i: random.random(), "double")("fact_id")
+    won = representative.winners_by_votes(winners(spark, rows).withColumn("trust", shaken)).collect()
+    assert all((r["value"] is not None and r["fact_id"] is not None) == (r["field"] != "metadata") for r in won)
+    assert sorted((r["repo"] or "", r["field"], r["members"]) for r in won) == [(r, f, 9) for r in ("", "r") for f in ("file_path", "line_number", "metadata")]
+
+
 def test_no_facts(spark):
     long = winners(spark, [])
     assert representative.winners_by_preference(long).collect() == [] and representative.winners_by_votes(long).collect() == []

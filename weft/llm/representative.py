@@ -104,15 +104,11 @@ def votes(long: DataFrame, half_life_days: float = HALF_LIFE_DAYS) -> DataFrame:
 
 def winners_by_votes(long: DataFrame, half_life_days: float = HALF_LIFE_DAYS) -> DataFrame:
     """As ``winners_by_preference``, but the value with the most votes wins; ties go to the smallest value."""
-    tally = votes(long, half_life_days)
-    best = tally.groupBy("repo", "node", "field").agg(
-        F.min("group_id").alias("group_id"), F.sum("members").alias("members"), F.max("votes").alias("top"),
-    )
-    joined = tally.select("repo", "node", "field", "value", "votes", "fact_id").join(best, ["repo", "node", "field"])
-    first = F.when(F.col("votes") == F.col("top"), F.struct("value", "fact_id"))
-    return joined.groupBy("repo", "node", "field", "group_id", "members").agg(F.min(first).alias("w")).select(
-        "repo", "node", "field", "group_id", "members", F.col("w.fact_id").alias("fact_id"), F.col("w.value").alias("value")
-    )
+    # one aggregation over one evaluation of the sums: added in another order they may differ in the last bit
+    first = F.min(F.when(F.col("votes").isNotNull(), F.struct((-F.col("votes")).alias("against"), "value", "fact_id")))
+    return votes(long, half_life_days).groupBy("repo", "node", "field").agg(
+        F.min("group_id").alias("group_id"), F.sum("members").alias("members"), first.alias("w"),
+    ).select("repo", "node", "field", "group_id", "members", F.col("w.fact_id").alias("fact_id"), F.col("w.value").alias("value"))
 
 
 def golden_records(winners: DataFrame) -> DataFrame:
