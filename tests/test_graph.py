@@ -175,3 +175,8 @@ def test_layout_packs_components_and_single_nodes(spark):
     assert got["p"][0] >= 274 + 188 + 120 and got["q"][0] > got["p"][0] and got["s1"][0] == got["s2"][0] and got["s2"][1] == got["s1"][1] + 88
     assert views.pack_blocks([("a", 5000, 100), ("b", 300, 50), ("c", 300, 1700)]) == {"a": (0, 0), "b": (0, 190), "c": (0, 330)}
     assert views.layout(graph(spark, {}, [])).collect() == []
+
+
+def test_every_candidate_is_reported(spark):
+    nodes = spark.createDataFrame([(f"function:m{i:02}.run", "run") for i in range(60)], "id string, name string")
+    assert resolve.candidates(nodes, "run", 3) == [f"function:m{i:02}.run" for i in range(60)]

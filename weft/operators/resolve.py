@@ -93,7 +93,7 @@ def resolve(nodes: DataFrame, query: str) -> str:
 
 
 def candidates(nodes: DataFrame, query: str, stage: int) -> list[str]:
-    """The ids that match at a stage, for the message; at most 50."""
+    """The ids that match at a stage, for the message."""
     q = query.strip()
     identity, last = F.regexp_replace("id", r"^[^:]*:", ""), F.regexp_extract("id", r"([^:]*)$", 1)
     tests = {
@@ -101,4 +101,4 @@ def candidates(nodes: DataFrame, query: str, stage: int) -> list[str]:
         5: (identity == q) | F.endswith(identity, F.lit("." + q)), 6: F.endswith(F.col("id"), F.lit(":" + q)) | (last == q),
         7: F.lower(last) == q.lower(),
     }
-    return [r["id"] for r in nodes.filter(tests[stage]).select("id").orderBy("id").limit(50).collect()]
+    return [r["id"] for r in nodes.filter(tests[stage]).select("id").orderBy("id").collect()]
