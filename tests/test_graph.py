@@ -1,3 +1,4 @@
+import inspect
 import itertools
 import random
 
@@ -177,6 +178,15 @@ def test_layout_packs_components_and_single_nodes(spark):
     assert views.layout(graph(spark, {}, [])).collect() == []
 
 
+def test_long_paths_are_whole_or_an_error(spark):
+    nodes = spark.createDataFrame([(c,) for c in "abcde"], "id string")
+    edges = spark.createDataFrame([tuple(p) for p in ("ab", "bc", "cd", "de")], "source string, target string")
+    assert inspect.signature(traverse.root_paths).parameters["max_length"].default is None
+    assert [r["path"] for r in traverse.root_paths(nodes, edges, max_length=5).collect()] == [list("abcde")]
+    with pytest.raises(ValueError):
+        traverse.root_paths(nodes, edges, limit=None, max_length=3)
+
+
 def test_every_candidate_is_reported(spark):
     nodes = spark.createDataFrame([(f"function:m{i:02}.run", "run") for i in range(60)], "id string, name string")
     assert resolve.candidates(nodes, "run", 3) == [f"function:m{i:02}.run" for i in range(60)]

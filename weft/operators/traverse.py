@@ -131,11 +131,12 @@ def layers(nodes: DataFrame, edges: DataFrame, starts: DataFrame | None = None)
     return state.select("id", "layer")
 
 
-def root_paths(nodes: DataFrame, edges: DataFrame, limit: int | None = 80, max_length: int = 1000) -> DataFrame:
+def root_paths(nodes: DataFrame, edges: DataFrame, limit: int | None = 80, max_length: int | None = None) -> DataFrame:
     """(path): simple paths from roots to sinks as arrays of ids, in depth-first order.
 
     Roots have no incoming edge; if there is none, every node is one. A path ends at a sink or before a node that it
     already has. Roots with outgoing edges come first, then ids in order; ``limit`` keeps the first paths, as printed.
+    A path of more than ``max_length`` nodes is an error.
     """
     links = cut(arcs(edges))
     ids = nodes.select("id").distinct()
@@ -144,11 +145,14 @@ def root_paths(nodes: DataFrame, edges: DataFrame, limit: int | None = 80, max_l
         roots = ids
     going = links.select(F.col("a").alias("id"), F.lit(True).alias("out")).distinct()
     state = roots.join(going, "id", "left").select(F.coalesce("out", F.lit(False)).alias("out"), F.array("id").alias("path"))
-    done = None
-    for _ in range(max_length):
+    done, length = None, 0
+    while True:
         state, seen = cut_observed(state)
         if not seen["rows"]:
             break
+        length += 1
+        if max_length is not None and length > max_length:
+            raise ValueError(f"there are paths of more than {max_length} nodes")
         onward = state.join(links, F.element_at("path", -1) == F.col("a")).filter(~F.array_contains(F.col("path"), F.col("b")))
         stuck = state.join(onward.select("path").distinct(), "path", "left_anti").select("out", "path")
         done = stuck if done is None else done.unionByName(stuck)
