@@ -152,7 +152,7 @@ def documents(spark, rows):
 
 
 def test_prose_is_counted_as_stated(spark):
-    parts = ["Hello there, e.g. this... is 3.5 long! Really?", "- no prose here", "Ünïcode wörds 12 end", "x\r\nY z.\rW", "... !!! ???", "End.\n\n  indented line\nA.b c? d"]
+    parts = ["Hello there, e.g. this... is 3.5 long! Really?", "- no prose here", "Ünïcode wörds 12 end", "x\r\nY z.\rW", "... !!! ???", "One\u00a0two.\u00a0Three four!\u2009Five", "End.\n\n  indented line\nA.b c? d"]
     text = "\n".join(parts)
     at, cells = 0, []
     for i, p in enumerate(parts):
@@ -181,6 +181,7 @@ def test_levels_follow_difficulty_on_held_out_documents(spark):
     ids = sorted(got)
     right = [got[a]["score"] < got[b]["score"] for a, b in zip(ids, ids[20:])]
     assert np.mean(right) > 0.95 and {r["level"] for r in got.values()} == {1, 2, 3, 4, 5}
+    assert model.held_out > 0.95 and min(model.weights) >= 0
     grades = [got[i]["grade"] for i in sorted(ids, key=lambda i: got[i]["score"])]
     assert grades == sorted(grades)
 
@@ -191,11 +192,35 @@ def test_demanding_documents_are_exact(spark):
     want = {d for d, t, c, _, _ in rows for w, n, s in [measures(t or "", c)] if w and w >= 20 * s and n >= 5.1 * w}
     got = [r["doc_id"] for r in reading.demanding(reading.prose_features(df), reading.fit(df)).collect()]
     assert sorted(got) == sorted(want) and want
+    features = reading.prose_features(df)
+    assert len(want) <= reading.candidates(features, reading.fit(df)).count() < features.count()
     empty = df.limit(0)
     assert reading.demanding(reading.prose_features(empty), reading.fit(empty)).collect() == []
     assert reading.reading_levels(reading.prose_features(df.filter("doc_id >= 900")), reading.fit(empty)).select("level").distinct().collect() == [(0,)]
 
 
+def test_any_model_keeps_all_demanding_documents(spark):
+    rnd, rows = random.Random(8), []
+    for i in range(300):  # around the limits, with very uneven sentences and words
+        body = " ".join(" ".join("b" * rnd.choice((1, 2, 5, 6, 12, 30)) for _ in range(rnd.choice((1, 2, 25, 70)))) + "." for _ in range(rnd.randint(1, 6)))
+        rows.append((i, body, [("text", None, 0, len(body))], "", ""))
+    df = documents(spark, rows)
+    want = {d for d, t, c, _, _ in rows for w, n, s in [measures(t, c)] if w and w >= 20 * s and 10 * n >= 51 * w}
+    for _ in range(3):
+        model = reading.ReadingModel([rnd.random() * 10 for _ in reading.FEATURES], [0.0], [0.0])
+        assert want and {r["doc_id"] for r in reading.demanding(reading.prose_features(df), model).collect()} == want
+
+
+def test_own_grades_and_cells_far_into_a_text(spark):
+    body = "x" * 70_000 + "\nAbc def. Ghi\n" + "y" * 70_000 + "\nLast words here."
+    at = body.index("Last")
+    df = documents(spark, [(1, body, [("text", 0, 70_001, 12), ("text", 1, at, 999), ("text", 2, 65_530, 4_480), ("text", 3, 10**6, 5)], "3", "")])
+    got = reading.prose_features(df).first()
+    assert (got["words"], got["letters"], got["sentences"]) == measures(body, [("text", 0, 70_001, 12), ("text", 1, at, 999), ("text", 2, 65_530, 4_480)])
+    graded = reading.fit(documents(spark, [(i, t, c, str(-i), "") for i, t, c, _, _ in corpus(60)]), grade="words")
+    assert graded.weights == [0.0] * len(reading.FEATURES) or graded.held_out is not None
+
+
 def test_isotonic_is_the_monotone_fit():
     lows, means = reading.isotonic(np.array([1.0, 2, 3, 4, 4]), np.array([1.0, 3, 2, 5, 7]))
     assert lows == [1, 2, 4] and means == [1, 2.5, 6]

@@ -127,7 +127,7 @@ shown AS (SELECT doc_id, unnest(list_filter(cells, lambda c: c.kind = 'text' AND
 lines AS (SELECT doc_id, unnest(string_split(replace(replace(substring(text, c.pos + 1, c.len), E'\r\n', E'\n'), E'\r', E'\n'), E'\n')) AS line FROM shown),
 counted AS (
   SELECT doc_id, sum(len(regexp_extract_all(line, '\p{L}+'))) AS words, sum(length(regexp_replace(line, '\P{L}', '', 'g'))) AS letters,
-    sum(len(list_filter(regexp_split_to_array(line || ' ', '[.!?]\s'), lambda s: regexp_matches(s, '\p{L}')))) AS sentences
+    sum(len(list_filter(regexp_split_to_array(line || ' ', '[.!?][\s\p{Z}\x0B\x{85}]'), lambda s: regexp_matches(s, '\p{L}')))) AS sentences
   FROM lines WHERE regexp_matches(line, '^\p{L}') GROUP BY doc_id)
 """
 
@@ -168,5 +168,5 @@ ORACLE = {
     "p7_found": f"WITH own AS (SELECT {_NAME} AS source, sum(length(text)) AS n FROM documents GROUP BY 1) "
     f"SELECT {_NAME} AS source FROM mix_targets t LEFT JOIN own ON own.source = {_NAME.replace('source', 't.source')} "
     "WHERE target_share * (SELECT sum(length(text)) FROM documents) > max_repeats * coalesce(n, 0)".replace(f"SELECT {_NAME} AS source FROM mix", f"SELECT {_NAME.replace('source', 't.source')} AS source FROM mix"),
-    "p8_found": f"WITH {_PROSE} SELECT doc_id FROM counted WHERE words >= 20 * sentences AND letters >= 5.1 * words AND words > 0",
+    "p8_found": f"WITH {_PROSE} SELECT doc_id FROM counted WHERE words >= 20 * sentences AND 10 * letters >= 51 * words AND words > 0",
 }
