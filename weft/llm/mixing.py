@@ -14,6 +14,7 @@ import math
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -57,15 +58,17 @@ def source_name(column: Column) -> Column:
     return F.lower(F.regexp_replace(column, r"(?U)^\s+|\s+$", ""))
 
 
+def _probabilities(mean: float, cap: int) -> list[float]:
+    """P(count = k) for k below ``cap``, by logarithms, so that large means do not vanish."""
+    if mean <= 0:
+        return [1.0, *[0.0] * (cap - 1)][:cap]
+    return [math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(cap)]
+
+
 def capped_mean(mean: float, cap: int) -> float:
     """The mean of a Poisson count cut off at ``cap``."""
-    p, total = math.exp(-mean), 0.0
-    below = 0.0
-    for k in range(cap):
-        total += k * p
-        below += p
-        p *= mean / (k + 1)
-    return total + cap * max(0.0, 1.0 - below)
+    below = _probabilities(mean, cap)
+    return sum(k * p for k, p in enumerate(below)) + cap * max(0.0, 1.0 - sum(below))
 
 
 def poisson_mean(rate: float, cap: int) -> float:
@@ -75,7 +78,7 @@ def poisson_mean(rate: float, cap: int) -> float:
     if rate <= 0:
         return 0.0
     low, high = 0.0, 1.0
-    while capped_mean(high, cap) < rate and high < 700:
+    while capped_mean(high, cap) < rate:
         high *= 2
     for _ in range(80):
         middle = (low + high) / 2
@@ -87,12 +90,7 @@ def steps(mean: float, cap: int) -> list[float]:
     """P(count <= k) for k below ``cap``: a count is the number of steps that a uniform number reaches."""
     if math.isinf(mean):
         return [0.0] * cap
-    p, below, out = math.exp(-mean), 0.0, []
-    for k in range(cap):
-        below += p
-        out.append(min(1.0, below))
-        p *= mean / (k + 1)
-    return out
+    return [min(1.0, below) for below in accumulate(_probabilities(mean, cap))]
 
 
 class Mixture:
@@ -117,7 +115,7 @@ class Mixture:
         self._total = total
 
     def plan(self) -> DataFrame:
-        """(source, target_share, max_repeats, documents, tokens, wanted, rate, mean, steps, short), one row a target."""
+        """(source, target_share, max_repeats, documents, tokens, wanted, rate, mean, steps), one row a target."""
         per_source = self.sizes.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("tokens"))
         goals = self.goals.withColumn("named", F.lit(True))
         # one row for each target and one for everything else, so bounded by the configuration
@@ -135,16 +133,15 @@ class Mixture:
             wanted = r["target_share"] * total
             rate = wanted / r["tokens"] if r["tokens"] else (math.inf if wanted > 0 else 0.0)
             mean = poisson_mean(rate, r["max_repeats"])
-            short = wanted > r["max_repeats"] * r["tokens"]
-            out.append((r["source"], r["target_share"], r["max_repeats"], r["documents"], r["tokens"], wanted, rate, mean, steps(mean, r["max_repeats"]), short))
+            out.append((r["source"], r["target_share"], r["max_repeats"], r["documents"], r["tokens"], wanted, rate, mean, steps(mean, r["max_repeats"])))
         return self.goals.sparkSession.createDataFrame(
-            out, "source string, target_share double, max_repeats int, documents long, tokens long, wanted double, rate double, mean double, steps array<double>, short boolean"
+            out, "source string, target_share double, max_repeats int, documents long, tokens long, wanted double, rate double, mean double, steps array<double>"
         )
 
     def counts(self, plan: DataFrame) -> DataFrame:
-        """(key, source, tokens, copies): how often each document of a named source is taken, 0 included."""
-        chosen = self.sizes.join(F.broadcast(plan.select("source", "steps")), "source")
-        return chosen.select(self.key, "source", "tokens", self._copies(F.col(self.key), F.col("steps")).alias("copies"))
+        """(key, source, tokens, max_repeats, copies): how often each document of a named source is taken, 0 included."""
+        chosen = self.sizes.join(F.broadcast(plan.select("source", "max_repeats", "steps")), "source")
+        return chosen.select(self.key, "source", "tokens", "max_repeats", self._copies(F.col(self.key), F.col("steps")).alias("copies"))
 
     def _copies(self, key: Column, steps: Column) -> Column:
         uniform = (F.pmod(F.xxhash64(F.lit(self.seed), key), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
@@ -154,24 +151,27 @@ class Mixture:
         """(source, target_share, actual_share, documents, taken, tokens, wanted, mixed_tokens, short), one row a target.
 
         ``taken`` counts documents with their repeats, ``mixed_tokens`` their tokens; ``actual_share`` is of the mixed
-        corpus. ``short`` tells that the share is out of reach within the cap.
+        corpus. ``short`` comes from the counted mixture: every document of the source is taken as often as allowed, and
+        its tokens still fall behind the share. A source without documents is short of any share above 0.
         """
         plan = self.plan()
-        mixed = self.counts(plan).groupBy("source").agg(F.sum("copies").alias("taken"), F.sum(F.col("copies") * F.col("tokens")).alias("mixed_tokens"))
+        mixed = self.counts(plan).groupBy("source").agg(
+            F.sum("copies").alias("taken"), F.sum(F.col("copies") * F.col("tokens")).alias("mixed_tokens"), F.min(F.col("copies") >= F.col("max_repeats")).alias("spent"),
+        )
         joined = plan.join(mixed, "source", "left").fillna(0, ["taken", "mixed_tokens"])
         whole = mixed.agg(F.sum("mixed_tokens")).scalar()
         return joined.select(
-            "source", "target_share", F.coalesce(F.try_divide(F.col("mixed_tokens"), whole), F.lit(0.0)).alias("actual_share"),
-            "documents", "taken", "tokens", "wanted", "mixed_tokens", "short",
+            "source", "target_share", F.coalesce(F.try_divide(F.col("mixed_tokens"), whole), F.lit(0.0)).alias("actual_share"), "documents", "taken", "tokens",
+            "wanted", "mixed_tokens", (F.coalesce("spent", F.lit(True)) & (F.col("mixed_tokens") < F.col("wanted"))).alias("short"),
         )
 
     def corpus(self) -> DataFrame:
-        """The mixed corpus in its global order: position, copy, source, tokens and every column of ``documents``.
+        """The mixed corpus in its global order: place, copy, source, tokens and every column of ``documents``.
 
-        Every copy is a row of its own with the whole document. ``source`` is the name that was compared. A column of
+        Rows are sorted by ``place``, a hash that shuffles them; it is no running number. Every copy is a row of its own with the whole document. ``source`` is the name that was compared. A column of
         ``documents`` with one of the first four names, as its source, is called ``document_`` and its name.
         """
-        own, names = ("position", "copy", "source", "tokens"), {}
+        own, names = ("place", "copy", "source", "tokens"), {}
         for column in self.documents.columns:
             name = column
             while name.lower() in own or (name != column and name.lower() in map(str.lower, self.documents.columns)):
@@ -183,7 +183,7 @@ class Mixture:
         goals = self.plan().select("source", F.col("steps").alias("_steps"))
         copies = self._copies(F.col(key), F.col("_steps"))
         taken = whole.join(F.broadcast(goals), "source").withColumn("copy", F.explode(F.sequence(F.lit(0), copies))).filter("copy > 0")
-        placed = taken.withColumn("position", F.xxhash64(F.lit(self.seed + 1), F.col(key), F.col("copy"))).sort("position", key, "copy")
+        placed = taken.withColumn("place", F.xxhash64(F.lit(self.seed + 1), F.col(key), F.col("copy"))).sort("place", key, "copy")
         folder, name = self.folder, self.name
 
         @F.arrow_udf("long")
@@ -191,4 +191,4 @@ class Mixture:
             encoding = _encoding(folder, name)
             return pa.array([len(encoding.encode_ordinary(t)) if t else 0 for t in texts.to_pylist()], pa.int64())
 
-        return placed.select("position", "copy", "source", tokens(text).alias("tokens"), *names.values())
+        return placed.select("place", "copy", "source", tokens(text).alias("tokens"), *names.values())
