@@ -75,6 +75,8 @@ def test_capped_poisson_has_the_wanted_mean():
         below = mixing.steps(mean, cap)
         assert mixing.capped_mean(mean, cap) == pytest.approx(rate, abs=1e-6)
         assert sum(1 - b for b in below) == pytest.approx(rate, abs=1e-6)
+    mean = mixing.poisson_mean(900.0, 10_000)
+    assert mean == pytest.approx(900, rel=1e-6) and sum(1 - b for b in mixing.steps(mean, 10_000)) == pytest.approx(900, rel=1e-6)
     assert mixing.poisson_mean(2.0, 2) == math.inf and mixing.steps(math.inf, 2) == [0.0, 0.0] and mixing.steps(1.0, 0) == []
 
 
@@ -98,7 +100,7 @@ def test_shares_caps_and_shortfalls(spark):
     cap = {"web": 3, "books": 4, "tiny": 2}
     source = {r["doc_id"]: r["source"] for r in rows}
     assert all(n <= cap[source[d]] for d, n in times.items()) and all(sorted(r["copy"] for r in rows if r["doc_id"] == d) == list(range(1, times[d] + 1)) for d in list(times)[:20])
-    assert [r["position"] for r in rows] == sorted(r["position"] for r in rows) and rows == m.corpus().collect()
+    assert [r["place"] for r in rows] == sorted(r["place"] for r in rows) and rows == m.corpus().collect()
     assert Counter(r["source"] for r in rows)["web"] == plan["web"]["taken"]
 
 
@@ -111,7 +113,14 @@ def test_the_corpus_holds_whole_documents(spark):
     assert got == Counter({d: times[d[0]] for d in docs if times.get(d[0])}) and len(rows) > 400
     encoding = mixing._encoding(mixing.TOKENIZER_DIR, mixing.TOKENIZER_FILE)
     assert all(r["tokens"] == len(encoding.encode_ordinary(r["text"] or "")) and r["source"] == "web" for r in rows)
-    assert [r["position"] for r in rows] == sorted(r["position"] for r in rows)
+    assert [r["place"] for r in rows] == sorted(r["place"] for r in rows)
+
+
+def test_short_is_read_off_the_mixture(spark):
+    docs = [(i, s, "one two three four", "", 0) for i, s in enumerate(["a"] * 10 + ["b"] * 10 + ["c"] * 80)]
+    report = {r["source"]: r for r in mixture(spark, docs, [("a", 0.2, 2), ("b", 0.21, 2), ("c", 0.0, 0), ("d", 0.0, 5)]).report().collect()}
+    assert {s for s, r in report.items() if r["short"]} == {"b"}  # a is spent and just reaches its share
+    assert report["a"]["taken"] == report["b"]["taken"] == 20 and report["c"]["taken"] == 0
 
 
 def test_empty_mixtures_and_double_targets(spark):
@@ -247,7 +256,11 @@ def test_canonical_ids(spark, raw, want):
     assert df.select(representative.canonical_id(F.col("id"))).first()[0] == want
 
 
-def winners(spark, rows):
+def winners(spark, rows, by="preference"):
+    return representative.winners(representative.tally(unpivoted(spark, rows)), by)
+
+
+def unpivoted(spark, rows):
     facts = spark.createDataFrame([(*r, "clash", "clash") for r in rows], FACTS)
     trust = spark.createDataFrame([("p", 5), ("q", 9), (None, 99)], "parser string, trust int")
     return representative.unpivot_facts(facts, trust)
@@ -259,15 +272,15 @@ def test_preference_field_by_field(spark):
         (6, "r", None, " sql_table:a.b", "n", "t", None, None, None, at(9)), (7, "r", "p", "sql_table:a.b", None, None, "z.yml", -1, {}, at(5)), (8, "s", "p", "sql_table:a.b", "n", "t", "x.py", 1, None, None), (9, None, "p", "x", "n", "t", "a.py", 1, None, None),
         (10, None, "p", "x", "n", "t", "b.py", 1, None, None), (11, "r", "p", None, "n", "t", "a.py", 1, None, None), (12, "u", "x", "y", "n", "t", None, None, {"k": None}, at(1)), (13, "u", "x", "y", "n", "t", "", 0, None, at(1)),
     ]
-    won = representative.winners_by_preference(winners(spark, rows)).filter("members >= 2 and fact_id is not null").collect()
+    won = winners(spark, rows).filter("members >= 2 and fact_id is not null").collect()
     assert {(r["group_id"], r["field"], r["fact_id"]) for r in won} == {(3, "file_path", 3), (3, "line_number", 4), (3, "metadata", 5), (9, "file_path", 9), (9, "line_number", 9)}
-    golden = {r["group_id"]: r for r in representative.golden_records(representative.winners_by_preference(winners(spark, rows))).collect()}
+    golden = {r["group_id"]: r for r in representative.golden_records(winners(spark, rows)).collect()}
     assert (golden[3]["file_path"], golden[3]["line_number"], golden[3]["members"]) == ("x.PY", "7", 5) and golden[12]["metadata"] is None
 
 
 def test_votes_sum_per_value(spark):
     rows = [(i, "r", p, "x", "n", "t", path, 1, None, at(d)) for i, (p, path, d) in enumerate([("q", "a.py", 1), ("p", "b.py", 1), ("p", " b.py", 1), ("p", "c.py", None), ("q", "d.txt", 1)])]
-    won = {r["field"]: r for r in representative.winners_by_votes(winners(spark, rows)).collect()}
+    won = {r["field"]: r for r in winners(spark, rows, "votes").collect()}
     assert (won["file_path"]["value"], won["file_path"]["members"], won["metadata"]["value"]) == ("b.py", 5, None)
 
 
@@ -275,11 +288,18 @@ def test_votes_are_summed_once(spark):
     # sums that differ between two evaluations, as floating-point sums in another order do, must not lose the winner
     rows = [(i, repo, "p", "x", "n", "t", f"{i % 3}.py", 1, None, at(1)) for repo in ("r", None) for i in range(9)]
     shaken = F.udf(lambda i: random.random(), "double")("fact_id")
-    won = representative.winners_by_votes(winners(spark, rows).withColumn("trust", shaken)).collect()
+    won = representative.winners(representative.tally(unpivoted(spark, rows).withColumn("trust", shaken)), "votes").collect()
     assert all((r["value"] is not None and r["fact_id"] is not None) == (r["field"] != "metadata") for r in won)
     assert sorted((r["repo"] or "", r["field"], r["members"]) for r in won) == [(r, f, 9) for r in ("", "r") for f in ("file_path", "line_number", "metadata")]
 
 
 def test_no_facts(spark):
-    long = winners(spark, [])
-    assert representative.winners_by_preference(long).collect() == [] and representative.winners_by_votes(long).collect() == []
+    assert winners(spark, []).collect() == [] and winners(spark, [], "votes").collect() == []
+
+
+def test_votes_and_order_may_disagree(spark):
+    rows = [(i, "r", p, "x", "n", "t", path, 1, None, at(1)) for i, (p, path) in enumerate([("q", "a.py"), ("p", "b.py"), ("p", "b.py")])]
+    tallied = representative.tally(unpivoted(spark, rows))
+    assert {tuple(r) for r in representative.disagreements(tallied).collect()} == {("file_path", 1, 1), ("line_number", 1, 0)}
+    by = {m: {r["field"]: r for r in winners(spark, rows, m).collect()}["file_path"] for m in ("preference", "votes")}
+    assert (by["preference"]["value"], by["preference"]["fact_id"], by["votes"]["value"], by["votes"]["fact_id"]) == ("a.py", 0, "b.py", 1)

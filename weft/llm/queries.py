@@ -10,24 +10,24 @@ from weft.llm.syntax.files import check_files, rates
 from weft.session import table
 
 
-def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return representative.unpivot_facts(table(spark, sf_dir, "node_facts"), table(spark, sf_dir, "parser_trust"))
+def _tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return representative.tally(representative.unpivot_facts(table(spark, sf_dir, "node_facts"), table(spark, sf_dir, "parser_trust")))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact that supplies each field of every node with several facts."""
-    won = representative.winners_by_preference(_facts(spark, sf_dir))
+    won = representative.winners(_tally(spark, sf_dir))
     return won.filter("members >= 2 and fact_id is not null").select("group_id", "field", "fact_id")
 
 
 def p3_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per node, each field from its best fact."""
-    return representative.golden_records(representative.winners_by_preference(_facts(spark, sf_dir)))
+    return representative.golden_records(representative.winners(_tally(spark, sf_dir)))
 
 
 def p3_voted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per node, each field the value with the most votes of trust times recency decay."""
-    return representative.golden_records(representative.winners_by_votes(_facts(spark, sf_dir)))
+    return representative.golden_records(representative.winners(_tally(spark, sf_dir), by="votes"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +147,7 @@ _PIVOT = ", ".join(f"max(value) FILTER (field = '{f}') AS {f}" for f in ("file_p
 _VOTES = """
 newest AS (SELECT max(epoch_us(emitted_at)) AS t FROM facts),
 tally AS (
-  SELECT repo, node, field, value, sum(coalesce((tr + 1) * pow(2.0, -((SELECT t FROM newest) - epoch_us(emitted_at)) / 86400000000.0 / 90.0), 0.0)) AS votes FROM long GROUP BY ALL),
+  SELECT repo, node, field, value, sum(coalesce(round((tr + 1) * pow(2.0, -((SELECT t FROM newest) - epoch_us(emitted_at)) / 86400000000.0 / 90.0) * 1000000)::BIGINT, 0)) AS votes FROM long GROUP BY ALL),
 won_votes AS (SELECT *, row_number() OVER (PARTITION BY repo, node, field ORDER BY votes DESC, value) AS place FROM tally)
 """
 

@@ -1,8 +1,8 @@
 """The best representative of each group of duplicate records, field by field.
 
 Fields are unpivoted to long rows. Each row votes for its normalised value with the trust in its source times a decay by
-age; votes are summed per group, field and value. ``max_by`` picks the winner of each group and field, either by votes
-or by a stated order of preference, and the winners are pivoted back into one record. All steps are aggregations that
+age; votes are summed per group, field and value. ``max_by`` picks the winner of each group and field from that tally,
+either by votes or by a stated order of the values' best rows, and the winners are pivoted back into one record. All steps are aggregations that
 combine on the map side, so a group with a third of all rows is one partial state per task.
 """
 
@@ -71,44 +71,48 @@ def unpivot_facts(facts: DataFrame, trust: DataFrame) -> DataFrame:
     )
 
 
-def winners_by_preference(long: DataFrame) -> DataFrame:
-    """(repo, node, field, group_id, members, fact_id, value): the winning row of each node and field.
+def tally(long: DataFrame, half_life_days: float = HALF_LIFE_DAYS) -> DataFrame:
+    """(repo, node, field, value, votes, best, group_id, members): trust times recency decay, summed per value.
 
-    Usable rows only: most filled values (for metadata), highest trust, latest time with null as the oldest, smallest
-    ``fact_id``. A field without a usable row has a null winner. Repeated rows count as often as they come.
+    Votes are whole millionths of a trust, so that sums do not depend on the order of rows. Age counts from the latest
+    time of all facts; a null time has the weight 0 and an untrusted source a trust of 1, so that every value can win
+    where nothing better exists. A value of unusable rows has null votes. ``best`` is the value's best usable row: most
+    filled values, highest trust, latest time with null as the oldest, smallest ``fact_id``.
     """
-    rank = F.struct(F.col("usable"), F.col("filled"), F.col("trust"), F.col("emitted_at"), -F.col("fact_id"))
+    micros = F.unix_micros(F.col("emitted_at").cast("timestamp"))
+    newest = long.agg(F.max(micros)).scalar()
+    age = (newest - micros) / F.lit(86_400_000_000.0)
+    weight = F.coalesce(F.round((F.col("trust") + 1) * F.pow(F.lit(2.0), -age / half_life_days) * 1_000_000).cast("long"), F.lit(0).cast("long"))
     usable = F.col("usable")
-    return long.groupBy("repo", "node", "field").agg(
-        F.min("fact_id").alias("group_id"), F.count(F.lit(1)).alias("members"),
-        F.max_by(F.when(usable, F.col("fact_id")), F.when(usable, rank)).alias("fact_id"),
-        F.max_by(F.when(usable, F.col("value")), F.when(usable, rank)).alias("value"),
+    row = F.struct("filled", "trust", "emitted_at", (-F.col("fact_id")).alias("against"))
+    return long.groupBy("repo", "node", "field", "value").agg(
+        F.sum(F.when(usable, weight)).alias("votes"), F.max(F.when(usable, row)).alias("best"), F.min("fact_id").alias("group_id"), F.count(F.lit(1)).alias("members"),
     )
 
 
-def votes(long: DataFrame, half_life_days: float = HALF_LIFE_DAYS) -> DataFrame:
-    """(repo, node, field, value, votes, group_id, members, fact_id): trust times recency decay, summed per value.
+def winners(tallied: DataFrame, by: str = "preference") -> DataFrame:
+    """(repo, node, field, group_id, members, fact_id, value, votes): the winning value of each node and field.
 
-    Age counts from the latest time of all facts; a null time has the weight 0 and an untrusted source a trust of 1, so
-    that every value can win where nothing better exists. ``fact_id`` is the latest row with the value.
+    ``by="votes"``: the value with the most votes; ties go to the smallest value. ``by="preference"``: the value of the
+    best row, in the order that ``tally`` states; votes are its last tie-break. ``fact_id`` is the best row of the
+    winning value. A field without a usable row has a null winner. Repeated rows count as often as they come.
     """
-    micros = F.unix_micros(F.col("emitted_at").cast("timestamp"))
-    newest = long.agg(F.max(micros)).scalar()
-    age = (newest - micros) / F.lit(86_400_000_000.0)
-    weight = F.coalesce((F.col("trust") + 1) * F.pow(F.lit(2.0), -age / half_life_days), F.lit(0.0))
-    return long.groupBy("repo", "node", "field", "value").agg(
-        F.sum(F.when(F.col("usable"), weight)).alias("votes"), F.min("fact_id").alias("group_id"), F.count(F.lit(1)).alias("members"),
-        F.max_by(F.when(F.col("usable"), F.col("fact_id")), F.struct("usable", "emitted_at", -F.col("fact_id"))).alias("fact_id"),
+    chosen = F.when(F.col("votes").isNotNull(), F.struct("value", (-F.col("best.against")).alias("fact_id"), "votes"))
+    if by == "votes":
+        winner = F.min_by(chosen, F.when(F.col("votes").isNotNull(), F.struct((-F.col("votes")).alias("against"), "value")))
+    else:
+        winner = F.max_by(chosen, F.when(F.col("votes").isNotNull(), F.struct("best", "votes")))
+    return tallied.groupBy("repo", "node", "field").agg(F.min("group_id").alias("group_id"), F.sum("members").alias("members"), winner.alias("w")).select(
+        "repo", "node", "field", "group_id", "members", F.col("w.fact_id").alias("fact_id"), F.col("w.value").alias("value"), F.col("w.votes").alias("votes")
     )
 
 
-def winners_by_votes(long: DataFrame, half_life_days: float = HALF_LIFE_DAYS) -> DataFrame:
-    """As ``winners_by_preference``, but the value with the most votes wins; ties go to the smallest value."""
-    # one aggregation over one evaluation of the sums: added in another order they may differ in the last bit
-    first = F.min(F.when(F.col("votes").isNotNull(), F.struct((-F.col("votes")).alias("against"), "value", "fact_id")))
-    return votes(long, half_life_days).groupBy("repo", "node", "field").agg(
-        F.min("group_id").alias("group_id"), F.sum("members").alias("members"), first.alias("w"),
-    ).select("repo", "node", "field", "group_id", "members", F.col("w.fact_id").alias("fact_id"), F.col("w.value").alias("value"))
+def disagreements(tallied: DataFrame) -> DataFrame:
+    """(field, fields, differ): in how many nodes' fields the votes choose another value than the stated order."""
+    key = ["repo", "node", "field"]
+    one = lambda by: winners(tallied, by).filter("fact_id is not null").select(*key, "value")
+    both = one("preference").unionByName(one("votes")).groupBy(*key).agg((F.min("value") != F.max("value")).alias("d"))
+    return both.groupBy("field").agg(F.count(F.lit(1)).alias("fields"), F.count_if("d").alias("differ"))
 
 
 def golden_records(winners: DataFrame) -> DataFrame:
