@@ -21,7 +21,7 @@ ITEM = "one two three four five six seven eight nine ten eleven twelve thirteen
 def found(spark, docs, items, **options):
     d = spark.createDataFrame(docs, f"doc_id long, text string, cells {CELL}, item_id string")
     i = spark.createDataFrame(items, "item_id long, text string, doc_id string")
-    out = leaks.leaked_windows(d, i, text=leaks.cell_limits(F.col("text"), F.col("cells")), **options)
+    out = leaks.leaked_windows(d, i, cells="cells", **options)
     return {(r["doc_id"], r["item_id"]): [tuple(s) for s in r["spans"]] for r in out.collect()}
 
 
@@ -56,11 +56,23 @@ def test_windows_against_brute_force(spark):
     assert set(found(spark, docs, items, n=4, most=30)) == want  # several passes, each with a bounded broadcast
 
 
-def test_removal_leaves_the_rest(spark):
-    docs = spark.createDataFrame([(1, f"a b {ITEM}! c"), (2, "clean"), (3, None)], "doc_id long, text string")
-    items = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
-    out = leaks.remove_leaks(docs, leaks.leaked_windows(docs, items), F.col("text"))
-    assert sorted(tuple(r) for r in out.collect()) == [(1, "a b ! c", 14), (2, "clean", 0), (3, None, 0)]
+@pytest.mark.parametrize("most", [leaks.BROADCAST_WORDS, 20])  # one set, and one set an item
+def test_removal_leaves_the_rest(spark, most):
+    other = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
+    split = ITEM.replace("six seven", "sixseven")
+    half = split.index("seven")
+    docs = [
+        (1, f"a b {ITEM}! c", None), (2, "clean", [("text", 0, 0, 2)]), (3, None, None), (None, f"x {ITEM} y {other} z", None), (5, split + " end", [("text", 0, 0, half), ("code", 1, half, 10_000)]),
+        (6, "", []), (7, f"{ITEM} {' '.join(other.split()[:6])} {ITEM} {' '.join(other.split()[6:])}", None), (1, "twice", None),
+    ]
+    rows = spark.createDataFrame(docs, f"doc_id long, text string, cells {CELL}")
+    items = spark.createDataFrame([(7, ITEM), (8, other), (9, ITEM)], "item_id long, text string")
+    got = [tuple(r) for r in leaks.remove_leaks(rows, items, cells="cells", most=most).collect()]
+    want = [
+        (1, "a b ! c", 14), (2, "clean", 0), (3, None, 0), (None, "x  y  z", 27), (5, " end", 14), (6, "", 0),
+        (7, f" {' '.join(other.split()[:6])}  {' '.join(other.split()[6:])}", 28), (1, "twice", 0),
+    ]
+    assert sorted(got, key=str) == sorted(want, key=str)
 
 
 def test_no_items_or_documents(spark):

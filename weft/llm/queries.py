@@ -46,21 +46,15 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates(check_files(table(spark, sf_dir, "source_files")))
 
 
-def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.leaked_windows(
-        table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), text=leaks.cell_limits(F.col("text"), F.col("cells"))
-    )
-
-
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that share 12 consecutive words with a test item."""
-    return _leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+    found = leaks.leaked_windows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), cells="cells")
+    return found.select("doc_id", "item_id").distinct()
 
 
 def p6_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the spans that leaked."""
-    text = leaks.cell_limits(F.col("text"), F.col("cells"))
-    return leaks.remove_leaks(table(spark, sf_dir, "documents"), _leaks(spark, sf_dir), text)
+    return leaks.remove_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), cells="cells")
 
 
 def _mixture(spark: SparkSession, sf_dir: str) -> mixing.Mixture:
