@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import ast
-import sys
-import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,9 +10,6 @@ from pyspark.sql import functions as F
 
 from weft.llm.syntax import python, sql, yaml
 
-#: Texts whose verdict a task remembers, for copies that follow each other.
-MEMORY = 4096
-
 
 def language(path: Column) -> Column:
     """The language of a path's suffix in any case; null for others."""
@@ -23,19 +17,6 @@ def language(path: Column) -> Column:
     return F.when(suffix == "py", "python").when(suffix == "sql", "sql").when(suffix.isin("yml", "yaml"), "yaml")
 
 
-def _python_rejects(text: str) -> bool:
-    """An exact check of what the grammar rejected, where the interpreter has the grammar's version."""
-    if sys.version_info[:2] != (3, 13):
-        return True
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            ast.parse(text.removeprefix("\ufeff"))
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return True
-    return False
-
-
 def accepted_dialects(name: str, text: str) -> list[str]:
     """The dialects of a language that accept the whole text."""
     if name == "sql":
@@ -43,7 +24,7 @@ def accepted_dialects(name: str, text: str) -> list[str]:
         return [d for i, d in enumerate(sql.DIALECTS) if bits >> i & 1]
     if name == "yaml":
         return ["yaml"] if yaml.accepts(text) else []
-    return ["python"] if python.accepts(text) or not _python_rejects(text) else []
+    return ["python"] if python.accepts(text) else []
 
 
 def check_files(files: DataFrame, *, keys: tuple[str, ...] = ("file_id", "repo"), path: str = "file_path", content: str = "content") -> DataFrame:
@@ -61,18 +42,8 @@ def check_files(files: DataFrame, *, keys: tuple[str, ...] = ("file_id", "repo")
     schema = ", ".join(f"`{k}` {named.schema[k].dataType.simpleString()}" for k in keys) + ", language string, dialects array<string>, invalid boolean"
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[tuple[str, str], list[str]] = {}
         for batch in batches:
-            found = []
-            for name, text in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()):
-                text = text or ""
-                verdict = memory.get((name, text))
-                if verdict is None:
-                    verdict = accepted_dialects(name, text)
-                    if len(memory) >= MEMORY:
-                        memory.clear()
-                    memory[name, text] = verdict
-                found.append(verdict)
+            found = [accepted_dialects(name, text.as_py() or "") for name, text in zip(batch.column(n).to_pylist(), batch.column(n + 1))]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: n + 1], pa.array(found, pa.list_(pa.string())), pa.array([not v for v in found], pa.bool_())],
                 names=[*keys, "language", "dialects", "invalid"],

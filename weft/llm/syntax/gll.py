@@ -8,15 +8,21 @@ Every rule becomes a deterministic automaton. A descriptor is a state, a node of
 and the set of dialects that are still possible; a stack node stands for one rule begun at one position and is shared by
 all callers and dialects. One token of lookahead prunes alternatives, so that unambiguous stretches run without creating
 descriptors. The result is the set of dialects that accept the whole input.
+
+Where a language is a sequence of statements, its inputs are given statement by statement, and the verdict on a sequence
+of token kinds is remembered by its digest: many statements differ in names and values only.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from hashlib import blake2b
 
 _LEX = re.compile(r"\s+|#[^\n]*|'[^']+'|\{[\w,]+\}|\w+|[:;|\[\]()*+]")
 EOF = "EOF"
+#: Verdicts that a grammar remembers, about 200 bytes each; beyond, it forgets all and begins again.
+MEMORY = 100_000
 
 
 class _Node:
@@ -35,6 +41,7 @@ class Grammar:
         self.full = (1 << len(self.bits)) - 1
         self.rules = self._read(text)
         self.kind_ids = {k: i for i, k in enumerate([*kinds, EOF])}
+        self.memory: dict[bytes, int] = {}
         self.terminals = [frozenset(kinds[k]) if k != EOF else frozenset([EOF]) for k in self.kind_ids]
         self._compile(start)
 
@@ -204,6 +211,21 @@ class Grammar:
                 row.append(tuple(acts))
             self.actions.append(row)
 
+    def accepts_all(self, statements: Iterable[list[str]]) -> int:
+        """The dialects, as bits, that accept every one of the inputs; all of them for no input."""
+        accepted = self.full
+        for kinds in statements:
+            key = blake2b("\0".join(kinds).encode(), digest_size=16).digest()
+            known = self.memory.get(key)
+            if known is None:
+                if len(self.memory) >= MEMORY:
+                    self.memory.clear()
+                known = self.memory[key] = self.accepts(kinds)
+            accepted &= known
+            if not accepted:
+                break
+        return accepted
+
     def accepts(self, tokens: list[str]) -> int:
         """The dialects, as bits, that accept the token kinds; an unknown kind is accepted by none."""
         ids = self.kind_ids

@@ -105,6 +105,9 @@ _BODY = {q: re.compile(rf"(?:[^\\{q[0]}{'' if len(q) == 3 else chr(10)}]|\\[\s\S
 _BAD_ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*\\(?:x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4})|U(?!00(?:0[0-9a-fA-F]|10)[0-9a-fA-F]{4})|N(?!\{[^{}]+\}))")
 _NAMED = re.compile(r"(?<!\\)(?:\\\\)*\\N\{([^{}]+)\}")
 _CLOSING = {")": "(", "]": "[", "}": "{"}
+#: The next name or operator of a line, where it is no string prefix, number or comment.
+_NEXT = re.compile(rf"[ \t\f]*+(?:([^\W\d]\w*+)(?!['\"])|(?!\.\d)({'|'.join(map(re.escape, _OPERATORS))}))")
+_CONTINUES = frozenset(["elif", "else", "except", "finally", "INDENT", "DEDENT", "NEWLINE"])
 
 
 class _Bad(Exception):
@@ -157,8 +160,18 @@ class _Lexer:
                         if (column, other) != indents[-1]:
                             raise _Bad
                 begin = False
-            c = text[at]
-            if c == "\n":
+            m = _NEXT.match(text, at)
+            if m is not None:
+                word, op = m.groups()
+                if op is None and (word.isascii() or word.isidentifier()):
+                    out.append(word if word in _WORDS else "NAME")
+                elif op is None:
+                    raise _Bad
+                else:
+                    self.operator(op)
+                at = m.end()
+                continue
+            if text[at] == "\n":
                 at += 1
                 if not self.stack:
                     out.append("NEWLINE")
@@ -202,14 +215,16 @@ class _Lexer:
         m = _OPERATOR.match(text, at)
         if not m:
             raise _Bad
-        op = m.group()
+        self.operator(m.group())
+        return m.end()
+
+    def operator(self, op: str) -> None:
         if op in "([{":
             self.stack.append(op)
         elif op in _CLOSING:
             if not self.stack or self.stack.pop() != _CLOSING[op]:
                 raise _Bad
         self.out.append(op)
-        return m.end()
 
     def string(self, at: int, prefix: str) -> int:
         quote = self.text[at] * 3 if self.text.startswith(self.text[at] * 3, at) else self.text[at]
@@ -311,7 +326,30 @@ def grammar() -> Grammar:
     return Grammar(GRAMMAR, "file", kinds)
 
 
+def statements(kinds: list[str]) -> list[list[str]]:
+    """The token kinds cut where a line begins a new statement without indentation.
+
+    Such a line continues a statement only if it begins with elif, else, except or finally, or follows a decorator.
+    """
+    out: list[list[str]] = []
+    depth, begins, decorated = 0, True, False
+    for kind in kinds:
+        if kind == "INDENT":
+            depth += 1
+        elif begins and depth == 0 and kind not in _CONTINUES:
+            if not decorated:
+                out.append([])
+            decorated = kind == "@"
+        elif kind == "DEDENT":
+            depth -= 1
+        if not out:
+            out.append([])
+        out[-1].append(kind)
+        begins = kind in ("NEWLINE", "DEDENT")
+    return out
+
+
 def accepts(text: str) -> bool:
     """Whether the text is a Python 3.13 file; an empty one is."""
     kinds = tokens(text)
-    return kinds is not None and bool(grammar().accepts(kinds))
+    return kinds is not None and bool(grammar().accepts_all(statements(kinds)))

@@ -156,10 +156,21 @@ def grammar() -> Grammar:
     return Grammar(GRAMMAR, "script", kinds, DIALECTS)
 
 
+def statements(kinds: list[str]) -> list[list[str]]:
+    """The token kinds between semicolons, which stand nowhere within a statement; empty ones are left out."""
+    out: list[list[str]] = [[]]
+    for kind in kinds:
+        if kind == ";":
+            out.append([])
+        else:
+            out[-1].append(kind)
+    return [s for s in out if s]
+
+
 def dialects(text: str) -> int:
     """The dialects, as bits, that accept the whole text; an empty text is accepted by all."""
     for lexer in _LEXERS if "\\'" in text else _LEXERS[:1]:
         kinds = tokens(text, lexer)
-        if kinds is not None and (accepted := grammar().accepts(kinds)):
+        if kinds is not None and (accepted := grammar().accepts_all(statements(kinds))):
             return accepted
     return 0

@@ -358,4 +358,4 @@ def grammar() -> Grammar:
 def accepts(text: str) -> bool:
     """Whether the text is a YAML stream; an empty one is."""
     kinds = tokens(text)
-    return kinds is not None and bool(grammar().accepts(kinds))
+    return kinds is not None and bool(grammar().accepts_all([kinds]))
