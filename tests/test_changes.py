@@ -82,6 +82,13 @@ def test_empty_tables(spark):
     assert run(spark, [], [node(1, "a")], [edge(1, "a", "b")]) == []
 
 
+def test_rows_are_shuffled_once(spark):
+    scans = spark.createDataFrame([scan(1, "r", "2024-01-01T00:00:00Z"), scan(2, "r", "2024-01-02T00:00:00Z")], SCANS)
+    out = scan_changes(scans, spark.createDataFrame([node(1, "a")], NODES), spark.createDataFrame([edge(2, "a", "b")], EDGES))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+
+
 @pytest.mark.parametrize(("chunk_rows", "bucket_rows"), [(1, 3), (4, 10), (64, 100_000)])
 def test_against_brute_force_with_a_hot_snapshot(spark, chunk_rows, bucket_rows):
     rnd = random.Random(4)

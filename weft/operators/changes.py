@@ -3,6 +3,9 @@
 Snapshots are sorted by key and cut into content-defined chunks: a chunk starts at every key whose hash has its
 low bits zero, so an insertion or removal only disturbs the chunk around it. Chunks whose digest occurs in both
 snapshots of a pair are discarded; only rows of the remaining chunks are joined by key and classified.
+
+Rows are shuffled once, by series and range of keys, so that all snapshots of a range lie together: sorting, chunking,
+matching and classifying need no further exchange. Ranges are as many as the rows of a series need.
 """
 
 from __future__ import annotations
@@ -16,8 +19,8 @@ from weft.session import cut
 CHUNK_ROWS = 32
 #: Snapshot headers are broadcast up to this many (about 16 bytes each), and joined by a shuffle beyond.
 BROADCAST_SNAPSHOTS = 500_000
-#: A snapshot with more rows than this is sorted in several independent buckets of the key space.
-BUCKET_ROWS = 50_000
+#: A series with more rows than this in all its snapshots is sorted in several independent buckets of the key space.
+BUCKET_ROWS = 100_000
 
 
 def instant(text: Column) -> Column:
@@ -83,33 +86,32 @@ def snapshot_changes(
     removes everything. Returns (snapshot, kind, record_key, change); empty inputs give no rows.
     """
     counts = records.groupBy("snapshot").agg(F.count(F.lit(1)).alias("n"))
-    sized = snapshots.join(counts, "snapshot", "left")
-    buckets = sized.groupBy(F.col("series").alias("_series")).agg(
-        F.greatest(F.lit(1), F.ceil(F.max(F.coalesce("n", F.lit(0))) / bucket_rows)).cast("int").alias("buckets")
-    )
-    known = snapshots.join(buckets, F.col("series").eqNullSafe(F.col("_series")), "left").select(
-        "snapshot", "earlier", "later", F.coalesce("buckets", F.lit(1)).alias("buckets")
-    )
-    known = cut(known)
+    series = F.xxhash64(F.lit(5), F.col("series").isNull(), "series")
+    sized = snapshots.withColumn("series", series).join(counts, "snapshot", "left")
+    buckets = sized.groupBy("series").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.coalesce("n", F.lit(0))) / bucket_rows)).cast("int").alias("buckets"))
+    known = cut(sized.join(buckets, "series").select("snapshot", "earlier", "later", "series", "buckets"))
     if known.count() <= BROADCAST_SNAPSHOTS:
         known = F.broadcast(known)
+    # a place holds one range of keys of all snapshots of a series: all that follows stays where this one shuffle puts it
+    bucket = F.pmod(F.shiftright("key_digest", 8), F.col("buckets"))
     rows = (
-        records.join(known.select("snapshot", "buckets"), "snapshot")
-        .withColumn("bucket", F.pmod(F.shiftright("key_digest", 8), F.col("buckets")).cast("int"))
-        .repartition("snapshot", "kind", "bucket")
-        .dropDuplicates(["snapshot", "kind", "bucket", "record_key", "key_digest", "d1", "d2"])
-        .groupBy("snapshot", "kind", "bucket", "record_key", "key_digest")
+        records.join(known.select("snapshot", "series", "buckets"), "snapshot")
+        .select(F.xxhash64("series", "kind", bucket).alias("place"), "snapshot", "kind", "record_key", "key_digest", "d1", "d2")
+        .repartition("place")
+        .dropDuplicates(["place", "snapshot", "kind", "record_key", "key_digest", "d1", "d2"])
+        .groupBy("place", "snapshot", "kind", "record_key", "key_digest")
         .agg(F.bit_xor("d1").alias("d1"), F.bit_xor("d2").alias("d2"))
     )
-    order = Window.partitionBy("snapshot", "kind", "bucket").orderBy("record_key", "key_digest")
+    order = Window.partitionBy("place", "snapshot", "kind").orderBy("record_key", "key_digest")
     starts = F.col("key_digest").bitwiseAND(F.lit(chunk_rows - 1)) == 0
     rows = rows.withColumn(
         "chunk", F.coalesce(F.last(F.when(starts, F.col("key_digest")), ignorenulls=True).over(order), F.lit(0).cast("long"))
     )
-    chunks = rows.groupBy("snapshot", "kind", "bucket", "chunk").agg(
+    chunks = rows.groupBy("place", "snapshot", "kind", "chunk").agg(
         F.count(F.lit(1)).alias("n"),
         F.bit_xor(F.xxhash64(F.lit(3), "record_key", "key_digest", "d1")).alias("c1"),
         F.bit_xor(F.xxhash64(F.lit(4), "record_key", "key_digest", "d2")).alias("c2"),
+        F.collect_list(F.struct("record_key", "key_digest", "d1", "d2")).alias("members"),
     )
     sides = F.filter(
         F.array(
@@ -118,16 +120,15 @@ def snapshot_changes(
         ),
         lambda s: s["pair"].isNotNull(),
     )
-    delivered = chunks.join(known, "snapshot").select("*", F.inline(sides))
+    delivered = chunks.join(known.select("snapshot", "earlier", "later"), "snapshot").select("place", "kind", "n", "c1", "c2", "members", F.inline(sides))
     unmatched = (
-        delivered.groupBy("pair", "kind", "bucket", "n", "c1", "c2")
-        .agg(F.min("side").alias("side"), F.max("side").alias("last"), F.first("snapshot").alias("snapshot"), F.first("chunk").alias("chunk"))
+        delivered.groupBy("place", "pair", "kind", "n", "c1", "c2")
+        .agg(F.min("side").alias("side"), F.max("side").alias("last"), F.first("members").alias("members"))
         .filter(F.col("side") == F.col("last"))
-        .select("pair", "side", "snapshot", "kind", "bucket", "chunk")
     )
-    suspects = rows.join(unmatched, ["snapshot", "kind", "bucket", "chunk"])
+    suspects = unmatched.select("place", "pair", "side", "kind", F.inline("members"))
     was, now = F.col("side") == 0, F.col("side") == 1
-    states = suspects.groupBy("pair", "kind", "record_key", "key_digest").agg(
+    states = suspects.groupBy("place", "pair", "kind", "record_key", "key_digest").agg(
         *(F.max(F.when(on, F.col(d))).alias(f"{d}_{name}") for d in ("d1", "d2") for on, name in ((was, "was"), (now, "now")))
     )
     change = (
