@@ -1,13 +1,16 @@
 from collections import Counter
 
-from weft.operators.skew import distinct_per_key, eager_join_counts, key_profile
+from pyspark.sql import functions as F
+
+from weft.operators.skew import compact_states, join_counts, key_profile
+from weft.plans.training_queries import p2_found
 
 
 def test_counts_equal_the_plain_join(spark):
     left = [(i % 3, "hot" if i % 3 else f"k{i % 5}", i) for i in range(90)] + [(None, "hot", 1), (7, None, 1), (7, "x", 2)]
     right = [(0, "a"), (0, "b"), (1, "c"), (None, "d")]
     a, b = spark.createDataFrame(left, "j int, g string, v int"), spark.createDataFrame(right, "j int, w string")
-    got = {r["g"]: (r["rows"], r["joined_rows"], r["join_keys"], r["matched_join_keys"]) for r in eager_join_counts(a, b, "j", "g").collect()}
+    got = {r["key"]: (r["rows"], r["joined_rows"], r["join_keys"], r["matched_join_keys"]) for r in join_counts(compact_states(a, "g", "j", "v"), b, "j").collect()}
     rows, joined, keys, matched = Counter(), Counter(), {}, {}
     for j, g, _ in left:
         if g is None:
@@ -21,7 +24,8 @@ def test_counts_equal_the_plain_join(spark):
 
 def test_distinct_values_skip_nulls_and_repeats(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("a", None), ("b", None), (None, 3)], "g string, v int")
-    assert {tuple(r) for r in distinct_per_key(df, "g", "v").collect()} == {("a", 1), ("b", 0)}
+    spread = compact_states(df.withColumn("j", F.lit(None).cast("int")), "g", "j", "v").filter("by_value").groupBy("key").agg(F.count("value"))
+    assert {tuple(r) for r in spread.collect()} == {("a", 1), ("b", 0)}
 
 
 def test_heavy_keys_count_rows_as_delivered(spark):
@@ -38,3 +42,10 @@ def test_empty(spark):
     assert key_profile(df, df.select("s"), key="key", join_key="s", value="v").collect() == []
     nulls = spark.createDataFrame([(None, 1, 1)], "key string, s int, v int")
     assert key_profile(nulls, nulls.select("s"), key="key", join_key="s", value="v").collect() == []
+
+
+def test_heavy_keys_come_from_the_joined_states(spark, tmp_path):
+    spark.createDataFrame([(1,)], "scan_id long").write.parquet(str(tmp_path / "scans.parquet"))
+    spark.createDataFrame([(1, "n", "t")], "scan_id long, id string, type string").write.parquet(str(tmp_path / "graph_nodes.parquet"))
+    spark.createDataFrame([(1, "a", "b")] * 30 + [(2, "c", None)], "scan_id long, source string, target string").write.parquet(str(tmp_path / "graph_edges.parquet"))
+    assert {tuple(r) for r in p2_found(spark, str(tmp_path)).collect()} == {("edge_source", "a"), ("node_type", "t")}
