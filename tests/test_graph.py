@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weft.operators import assets, identity, model, resolve, scope, traverse, views
+from weft.functions.ids import mermaid_id
+from weft.operators import assets, identity, model, render, resolve, scope, traverse, views
 from weft.operators.model import EDGE_SCHEMA, NODE_SCHEMA, Graph
 
 
@@ -80,7 +81,7 @@ def test_components_and_layers_against_brute_force(spark):
     got = {r["id"]: r["layer"] for r in traverse.layers(g.nodes, edges(spark, down)).collect()}
     assert got == depth
     cyclic = traverse.layers(g.nodes.limit(0).unionByName(nodes(spark, [("a", "a", "t"), ("b", "b", "t")])), edges(spark, [("a", "b"), ("b", "a")]))
-    assert [tuple(r) for r in cyclic.orderBy("id").collect()] == [("a", 0), ("b", 0)]
+    assert [tuple(r) for r in cyclic.orderBy("id").collect()] == [("a", 0), ("b", 1)]
     assert traverse.components(g.nodes.limit(0), g.edges.limit(0)).collect() == []
 
 
@@ -99,10 +100,10 @@ def test_resolve_cascade(spark):
     assert resolve.resolve(n, "run") == "python_function:m.run" and resolve.resolve(n, "stg") == "dbt_model:Stg" and resolve.resolve(n, "/x") == "api_route:GET:/x" and resolve.resolve(n, "get /X") == "api_route:GET:/x"
     with pytest.raises(resolve.AmbiguousNode) as e:
         resolve.resolve(n, "orders")
-    assert e.value.candidates == ["sql_table:a.orders", "sql_table:b.orders"]
+    assert [n["id"] for n in e.value.candidates] == ["sql_table:a.orders", "sql_table:b.orders"]
     with pytest.raises(resolve.NodeNotFound) as e:
         resolve.resolve(n, "python_function:m.rum")
-    assert e.value.suggestions[0] == "python_function:m.run"
+    assert e.value.suggestions[0]["id"] == "python_function:m.run"
     with pytest.raises(resolve.NodeNotFound):
         resolve.resolve(n, "  ")
 
@@ -188,5 +189,82 @@ def test_long_paths_are_whole_or_an_error(spark):
 
 
 def test_every_candidate_is_reported(spark):
-    nodes = spark.createDataFrame([(f"function:m{i:02}.run", "run") for i in range(60)], "id string, name string")
-    assert resolve.candidates(nodes, "run", 3) == [f"function:m{i:02}.run" for i in range(60)]
+    nodes = spark.createDataFrame([(f"function:m{i:02}.run", "run", "function", None) for i in range(60)], "id string, name string, type string, file_path string")
+    assert [n["id"] for n in resolve.candidates(nodes, "run", 3)] == [f"function:m{i:02}.run" for i in range(60)]
+
+
+def test_chains_follow_the_roots_that_lead_somewhere(spark):
+    g = Graph(nodes(spark, [(x, x, "t") for x in "ayz"]), edges(spark, [("y", "z"), ("z", "gone")]))
+    assert render.format_chains(g) == "y\n   ↓\nz\n\na\n"
+    assert render.format_chains(Graph(g.nodes.limit(0), g.edges.limit(0))) == "Graph is empty.\n"
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_a_limit_keeps_the_first_paths_of_all(spark, monkeypatch, few):
+    monkeypatch.setattr(traverse, "BROADCAST_LINKS", few)
+    steps = [(f"{a}{i}", f"{b}{i + 1}") for i in range(7) for a in "ab" for b in "ab"]
+    g = Graph(nodes(spark, [(x, x, "t") for x in {y for s in steps for y in s}]), edges(spark, steps))
+    everything = [r["path"] for r in traverse.root_paths(g.nodes, g.edges, None).collect()]
+    assert len(everything) == 2**8 and everything == sorted(everything)
+    assert [r["path"] for r in traverse.root_paths(g.nodes, g.edges, 5).collect()] == everything[:5]
+
+
+def layers_by_hand(ids, links):
+    """Longest distances over condensed components, by plain search."""
+    out = {i: {b for a, b in links if a == i and b != i} for i in ids}
+    reach = {}
+    for i in ids:
+        seen, todo = set(), [i]
+        while todo:
+            for b in out[todo.pop()]:
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        reach[i] = seen
+    strong = {i: min([i, *(j for j in reach[i] if i in reach[j])]) for i in ids}
+    far = {}
+    for s in set(strong.values()):
+        own = {i for i in ids if strong[i] == s}
+        now = {b for a in ids for b in out[a] if b in own and a not in own} or {s}
+        depth = 0
+        while now:
+            far.update({i: depth for i in now})
+            now, depth = {b for a in now for b in out[a] if b in own and b not in far}, depth + 1
+    base = {s: 0 for s in strong.values()}
+    for _ in ids:
+        for a in ids:
+            for b in out[a]:
+                if strong[a] != strong[b]:
+                    base[strong[b]] = max(base[strong[b]], base[strong[a]] + far[a] + 1)
+    return {i: base[strong[i]] + far[i] for i in ids}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_layers_of_cyclic_graphs(spark, seed):
+    rnd = random.Random(seed)
+    ids = [f"n{i:02}" for i in range(26)]
+    links = {(rnd.choice(ids), rnd.choice(ids)) for _ in range(30)}
+    got = {r["id"]: r["layer"] for r in traverse.layers(nodes(spark, [(i, i, "t") for i in ids]), edges(spark, sorted(links))).collect()}
+    assert got == layers_by_hand(ids, links)
+    got = {r["id"]: r["layer"] for r in traverse.layers(nodes(spark, [(i, i, "t") for i in "rabc"]), edges(spark, [("r", "a"), ("a", "b"), ("b", "a"), ("b", "c")])).collect()}
+    assert got == {"r": 0, "a": 1, "b": 2, "c": 3}
+
+
+def test_numbered_ids_are_those_of_going_through_them_in_order(spark):
+    rnd = random.Random(7)
+    ids = sorted({"".join(rnd.choice("ab-_.23") for _ in range(rnd.randint(1, 4))) for _ in range(150)})
+    clean = {r["id"]: r["c"] for r in nodes(spark, [(i, i, "t") for i in ids]).select("id", mermaid_id(F.col("id")).alias("c")).collect()}
+    used, want = set(), {}
+    for i in ids:
+        name, n = clean[i], 2
+        while name in used:
+            name, n = f"{clean[i]}_{n}", n + 1
+        used.add(name)
+        want[i] = name
+    got = {r["id"]: r["shown"] for r in views.suffixed_ids(nodes(spark, [(i, i, "t") for i in ids]), mermaid_id(F.col("id"))).collect()}
+    assert got == want
+
+
+def test_running_numbers_follow_ids(spark):
+    got = views.numbered(spark.createDataFrame([(f"k{i:03}",) for i in range(100)][::-1], "id string").repartition(5)).collect()
+    assert sorted((r["at"], r["id"]) for r in got) == [(i, f"k{i:03}") for i in range(100)]

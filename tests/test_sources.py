@@ -316,7 +316,10 @@ def test_command_line(spark, tmp_path, capsys):
     got = json.loads(capsys.readouterr().out)
     assert got["resolved_id"] == "sql_table:x.y" and [r["id"] for r in got["direct"]] == ["python_function:a.f"] and {r["id"] for r in got["downstream"]} == {"sql_table:z.w"} and got["affected_count"] == 2
     assert main(["impact", "x.y", "--depth", "1", "--root", root]) == 0 and "(none)" in capsys.readouterr().out
-    assert main(["impact", "sql_table:x.z", "--root", root]) == 1 and "suggestions" in capsys.readouterr().err
+    assert main(["impact", "sql_table:x.z", "--root", root]) == 1 and "Did you mean" in capsys.readouterr().err
+    assert main(["impact", "sql_table:x.z", "--json", "--root", root]) == 1
+    document = json.loads(capsys.readouterr().out)
+    assert document["error"] == "node_not_found" and document["query"] == "sql_table:x.z" and set(document["suggestions"][0]) == {"id", "name", "type", "file_path"}
     assert main(["impact", "x.y", "--depth", "0", "--root", root]) == 1 and main(["graph", root, "--open"]) == 1 and main(["graph", root, "--json", "--html"]) == 1
     capsys.readouterr()
     assert main(["graph", root, "--json"]) == 0 and len(json.loads(capsys.readouterr().out)["edges"]) == 2

@@ -8,11 +8,11 @@ import os
 import sys
 
 from weft.engine import Engine
+from weft.errors import AmbiguousNode, NodeNotFound, WeftError
 from weft.operators import render, views
-from weft.operators.resolve import AmbiguousNode, NodeNotFound
 from weft.session import local_session
 from weft.sources import store
-from weft.sources.repository import ConfigError, load_config, repository_files
+from weft.sources.repository import load_config, repository_files
 
 
 def _arguments(args: list[str]) -> argparse.Namespace:
@@ -39,14 +39,27 @@ def _arguments(args: list[str]) -> argparse.Namespace:
     return parser.parse_args(args)
 
 
-def _fail(message: str, **details: object) -> int:
+def _fail(message: str) -> int:
     print(message, file=sys.stderr)
-    for key, values in details.items():
-        if values:
-            print(f"{key}: " + ", ".join(map(str, values)), file=sys.stderr)
     return 1
 
 
+def _not_one(error: AmbiguousNode | NodeNotFound, as_json: bool) -> int:
+    """Tells why a text means no single node: a JSON document on the standard output, or a text on the error output."""
+    ambiguous = isinstance(error, AmbiguousNode)
+    others = error.candidates if ambiguous else error.suggestions
+    if as_json:
+        document = {"error": "ambiguous_node" if ambiguous else "node_not_found", "query": error.query, "candidates" if ambiguous else "suggestions": others}
+        print(json.dumps(document, indent=2))
+        return 1
+    lines = [str(error)]
+    if ambiguous:
+        lines += ["", "Choose one:", "", *(f'  weft impact "{n["id"].split(":", 1)[-1]}"' for n in others), "", "Stable IDs:", "", *(f"  {n['id']}" for n in others)]
+    elif others:
+        lines += ["Did you mean:", *(f"  {render.shown_name(n)} ({n['id']})" for n in others)]
+    return _fail("\n".join(lines))
+
+
 def main(args: list[str] | None = None) -> int:
     try:
         given = _arguments(sys.argv[1:] if args is None else args)
@@ -59,7 +72,7 @@ def main(args: list[str] | None = None) -> int:
         return _fail("--depth must be at least 1")
     try:
         config = load_config(root, given.config)
-    except ConfigError as e:
+    except WeftError as e:
         return _fail(str(e))
     stored = config.output if os.path.isabs(config.output) else os.path.join(root, config.output)
     if given.command == "scan" and not os.path.isdir(root):
@@ -88,7 +101,7 @@ def main(args: list[str] | None = None) -> int:
         if given.command == "impact":
             resolved = graph.resolve(given.node)
             document = render.impact_document(graph.impact(resolved, given.depth), given.node, resolved)
-            print(json.dumps(document, indent=2) if given.json else render.impact_text(document))
+            print(json.dumps(document, indent=2) if given.json else render.impact_text(document, graph.node(resolved)))
         elif given.json:
             print(graph.to_json(), end="")
         elif given.mermaid:
@@ -109,11 +122,9 @@ def main(args: list[str] | None = None) -> int:
         else:
             print(graph.to_chains(), end="")
         return 0
-    except AmbiguousNode as e:
-        return _fail(str(e), candidates=e.candidates)
-    except NodeNotFound as e:
-        return _fail(str(e), suggestions=e.suggestions)
-    except (store.StoreError, store.GraphNotFound, OSError) as e:
+    except (AmbiguousNode, NodeNotFound) as e:
+        return _not_one(e, getattr(given, "json", False))
+    except (WeftError, OSError) as e:
         return _fail(str(e))
     except KeyboardInterrupt:
         return 130

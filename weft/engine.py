@@ -37,6 +37,11 @@ class LineageGraph:
     def resolve(self, query: str) -> str:
         return resolve.resolve(self.nodes, query)
 
+    def node(self, node_id: str) -> dict:
+        """Id, name, type and file of one node."""
+        row = self.nodes.filter(F.col("id") == node_id).select(*resolve.SHOWN).first()
+        return row.asDict() if row else {}
+
     def impact(self, query: str, max_depth: int | None = None) -> DataFrame:
         return traverse.impact(self.nodes, self.edges, self.resolve(query), max_depth)
 

@@ -154,8 +154,10 @@ def jinja_is_unbalanced(text: Column) -> Column:
 
 
 def mermaid_id(column: Column) -> Column:
-    """Characters other than letters, digits and ``_`` become ``_``, which is trimmed at the ends."""
-    return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(column, "[^A-Za-z0-9_]", "_"), "^_+|_+$", ""), F.lit("")), F.lit("n"))
+    """Characters other than letters, digits and ``_`` become ``_``, which is trimmed at the ends; ``n_`` goes before a
+    digit, and nothing left is ``n``."""
+    clean = F.regexp_replace(F.regexp_replace(column, "[^A-Za-z0-9_]", "_"), "^_+|_+$", "")
+    return F.when(clean == "", "n").when(clean.rlike("^[0-9]"), F.concat(F.lit("n_"), clean)).otherwise(clean)
 
 
 def display_name(name: Column, kind: Column) -> Column:

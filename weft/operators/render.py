@@ -17,6 +17,7 @@ from weft.operators.assets import asset_graph
 from weft.operators.model import ASSET_TYPES, Graph
 from weft.operators.traverse import impact_summary, root_paths
 from weft.operators.views import suffixed_ids
+from weft.session import cut
 from weft.sources.store import json_rows, write_text
 
 #: Chains that are printed at most; fixed value.
@@ -31,7 +32,7 @@ def mermaid_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def render_mermaid(graph: Graph) -> str:
-    names = mermaid_nodes(graph.nodes)
+    names = cut(mermaid_nodes(graph.nodes))
     lines = ["graph LR"]
     lines += [f'    {r["shown"]}["{r["label"]}"]' for r in names.orderBy("id").toLocalIterator()]
     ends = lambda c: names.select(F.col("id").alias(c), F.col("shown").alias(c + "_shown"))
@@ -41,17 +42,19 @@ def render_mermaid(graph: Graph) -> str:
 
 
 def chains(graph: Graph, limit: int | None = CHAINS) -> DataFrame:
-    """(position, chain): root-to-sink paths by their display names, one under the other."""
+    """(position, chain): root-to-sink paths by their display names, one under the other, in the order of ``root_paths``."""
     from pyspark.sql import Window
 
-    paths = root_paths(graph.nodes, graph.edges, limit).withColumn("key", F.array_join("path", "\u0001"))
-    steps = paths.select("key", F.posexplode("path").alias("k", "id")).join(graph.nodes.select("id", display_name(F.col("name"), F.col("type")).alias("label")), "id", "left")
-    texts = steps.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", F.coalesce("label", "id").alias("label")))).alias("s"))
-    texts = texts.select("key", F.array_join(F.transform("s", lambda x: x["label"]), "\n   ↓\n").alias("chain"))
-    return texts.withColumn("position", F.row_number().over(Window.orderBy("key"))).select("position", "chain")
+    order = Window.orderBy(F.col("out").desc(), "path")  # of at most ``limit`` paths
+    paths = root_paths(graph.nodes, graph.edges, limit).withColumn("position", F.row_number().over(order))
+    steps = paths.select("position", F.posexplode("path").alias("k", "id")).join(graph.nodes.select("id", display_name(F.col("name"), F.col("type")).alias("label")), "id", "left")
+    texts = steps.groupBy("position").agg(F.array_sort(F.collect_list(F.struct("k", F.coalesce("label", "id").alias("label")))).alias("s"))
+    return texts.select("position", F.array_join(F.transform("s", lambda x: x["label"]), "\n   ↓\n").alias("chain"))
 
 
 def format_chains(graph: Graph) -> str:
+    if graph.nodes.isEmpty():
+        return "Graph is empty.\n"
     return "\n\n".join(r["chain"] for r in chains(graph).orderBy("position").toLocalIterator()) + "\n"
 
 
@@ -65,9 +68,15 @@ def impact_document(impacted: DataFrame, query: str, resolved: str) -> dict[str,
     }
 
 
-def impact_text(document: dict[str, Any]) -> str:
-    show = lambda rows: "\n".join(f"  {r['name']} ({r['type']})" for r in rows) or "  (none)"
-    return f"{document['resolved_id']}\n\nDirect:\n{show(document['direct'])}\n\nDownstream:\n{show(document['downstream'])}\n"
+def shown_name(node: dict[str, Any]) -> str:
+    """``display_name`` of one node."""
+    name = node["name"] or node["id"]
+    return name + "()" if node["type"] == "python_function" and not name.endswith("()") else name
+
+
+def impact_text(document: dict[str, Any], origin: dict[str, Any]) -> str:
+    show = lambda rows: "\n".join(f"  → {shown_name(r)}" for r in rows) or "  (none)"
+    return f"Impact: {shown_name(origin)}\n\nDirect:\n{show(document['direct'])}\n\nDownstream:\n{show(document['downstream'])}\n"
 
 
 def viewer_payload(graph: Graph, excerpts: DataFrame | None = None) -> dict[str, Any]:
@@ -76,7 +85,7 @@ def viewer_payload(graph: Graph, excerpts: DataFrame | None = None) -> dict[str,
     lines = lambda rows: [json.loads(r["line"]) for r in rows.toLocalIterator()]
     nodes, edges = (lines(r) for r in json_rows(graph))
     for n in nodes:
-        n["label"] = n["name"] + "()" if n["type"] == "python_function" and not n["name"].endswith("()") else n["name"]
+        n["label"] = shown_name(n)
     payload: dict[str, Any] = {
         "nodes": nodes, "edges": edges, "asset_types": sorted(ASSET_TYPES), "asset_edges": lines(json_rows(view)[1]), "includes_source": excerpts is not None,
     }

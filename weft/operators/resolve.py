@@ -7,24 +7,14 @@ import difflib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.errors import AmbiguousNode, NodeNotFound
+
 #: Suggestions that are offered, and the similarity from which on; fixed values.
 SUGGESTIONS, SIMILARITY = 5, 0.45
 
 
-class NodeNotFound(LookupError):
-    """No node is meant; ``suggestions`` are ids that look alike."""
-
-    def __init__(self, query: str, suggestions: list[str]):
-        super().__init__(f"no node matches {query!r}")
-        self.suggestions = suggestions
-
-
-class AmbiguousNode(LookupError):
-    """Several nodes are meant at the same stage; ``candidates`` are their ids."""
-
-    def __init__(self, query: str, candidates: list[str]):
-        super().__init__(f"{query!r} matches several nodes")
-        self.candidates = candidates
+#: What is told of a candidate or suggestion.
+SHOWN = ("id", "name", "type", "file_path")
 
 
 def match_stages(nodes: DataFrame, queries: DataFrame) -> DataFrame:
@@ -86,14 +76,21 @@ def resolve(nodes: DataFrame, query: str) -> str:
     hit = match_stages(nodes, asked).first()
     if hit is None:
         blank = not query.strip()
-        raise NodeNotFound(query, [] if blank else [r["id"] for r in suggest(nodes, query).collect()])
+        raise NodeNotFound(query, [] if blank else suggestions(nodes, query))
     if hit["matches"] > 1:
         raise AmbiguousNode(query, candidates(nodes, query, hit["stage"]))
     return hit["id"]
 
 
-def candidates(nodes: DataFrame, query: str, stage: int) -> list[str]:
-    """The ids that match at a stage, for the message."""
+def suggestions(nodes: DataFrame, query: str) -> list[dict]:
+    """The suggested nodes, best first, as dicts of ``SHOWN``."""
+    best = [r["id"] for r in suggest(nodes, query).collect()]
+    rows = {r["id"]: r.asDict() for r in nodes.filter(F.col("id").isin(best)).select(*SHOWN).collect()} if best else {}
+    return [rows[i] for i in best]
+
+
+def candidates(nodes: DataFrame, query: str, stage: int) -> list[dict]:
+    """The nodes that match at a stage, for the message, as dicts of ``SHOWN``."""
     q = query.strip()
     identity, last = F.regexp_replace("id", r"^[^:]*:", ""), F.regexp_extract("id", r"([^:]*)$", 1)
     tests = {
@@ -101,4 +98,4 @@ def candidates(nodes: DataFrame, query: str, stage: int) -> list[str]:
         5: (identity == q) | F.endswith(identity, F.lit("." + q)), 6: F.endswith(F.col("id"), F.lit(":" + q)) | (last == q),
         7: F.lower(last) == q.lower(),
     }
-    return [r["id"] for r in nodes.filter(tests[stage]).select("id").orderBy("id").collect()]
+    return [r.asDict() for r in nodes.filter(tests[stage]).select(*SHOWN).orderBy("id").collect()]

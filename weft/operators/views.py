@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions.ids import display_name, layer_of
 from weft.operators.model import Graph, induced
 from weft.operators.traverse import BACKWARD, arcs, column_order, components, layers, walk
+from weft.session import cut_observed
 
 
 def with_context(graph: Graph, matches: DataFrame) -> Graph:
@@ -97,12 +98,24 @@ def first_line_matching(content: Column, needles: list[str]) -> Column:
 
 
 def suffixed_ids(nodes: DataFrame, cleaned: Column) -> DataFrame:
-    """(id, shown): unique short ids; the second of a kind gets ``_2`` and so on, in the order of ids."""
-    from pyspark.sql import Window
+    """(id, shown): unique short ids; in the order of ids each node gets its clean id, or else the first of ``_2``,
+    ``_3`` and so on after it that no node before it has.
 
-    order = Window.partitionBy("clean").orderBy("id")
-    numbered = nodes.select("id", cleaned.alias("clean")).withColumn("n", F.row_number().over(order))
-    return numbered.select("id", F.when(F.col("n") == 1, F.col("clean")).otherwise(F.concat("clean", F.lit("_"), "n")).alias("shown"))
+    Nodes propose names and each name goes to the smallest id that wants it, until no two want the same: as all names
+    prefer smaller ids, this ends where going through the ids one by one does. A node never gets a smaller number than
+    its place among those with the same clean id, so it begins there, and further rounds are for clean ids that look
+    numbered themselves.
+    """
+    own = Window.partitionBy("clean").orderBy("id")
+    state = nodes.select("id", cleaned.alias("clean")).withColumn("n", F.row_number().over(own))
+    shown = F.when(F.col("n") == 1, F.col("clean")).otherwise(F.concat("clean", F.lit("_"), "n"))
+    while True:
+        state = state.withColumn("shown", shown)
+        beaten = F.col("id") != F.min("id").over(Window.partitionBy("shown"))
+        state, seen = cut_observed(state.withColumn("beaten", beaten), beaten=F.count_if("beaten"))
+        if not seen["beaten"]:
+            return state.select("id", "shown")
+        state = state.select("id", "clean", (F.col("n") + F.col("beaten").cast("int")).alias("n"))
 
 
 # Boxes of the drawing, gaps between them and between components, and where rows of components wrap; fixed values.
@@ -122,13 +135,20 @@ def pack_blocks(blocks: list[tuple[str, int, int]]) -> dict[str, tuple[int, int]
     return out
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` in the order of ``id`` with a running number ``at`` from 0: sorted by ranges, whose sizes are added up."""
+    ranged = cut_observed(df.sort("id").withColumn("part", F.spark_partition_id()).withColumn("k", F.monotonically_increasing_id()))[0]
+    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("size"), F.min("k").alias("first"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    offsets = sizes.select("part", (F.coalesce(F.sum("size").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return ranged.join(F.broadcast(offsets), "part").select(*df.columns, (F.col("k") + F.col("shift")).alias("at"))
+
+
 def layout(graph: Graph) -> DataFrame:
     """(id, component, x, y): boxes in columns by layer, larger components first, single nodes as a grid at the end.
 
     Places are computed on executors; only the size of each component that is drawn comes to the driver for packing.
     """
-    from pyspark.sql import Window
-
     labels = components(graph.nodes, graph.edges)
     size = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     labels = labels.join(size, "component")
@@ -142,7 +162,7 @@ def layout(graph: Graph) -> DataFrame:
     boxes = ordered.select("id", "component", (column * (BOX_WIDTH + GAP_X)).alias("x"), (F.col("position") * (BOX_HEIGHT + GAP_Y)).alias("y"))
     count = single.count()
     rows = -(-count // max(1, -(-count // max(1, MAX_ROW_HEIGHT // (BOX_HEIGHT + GAP_Y))))) if count else 1
-    at = F.row_number().over(Window.orderBy("id")) - 1
+    single, at = numbered(single.select("id")), F.col("at")
     grid = single.select("id", F.lit("").alias("component"), (F.floor(at / rows).cast("int") * (BOX_WIDTH + GAP_X)).alias("x"), (at % rows * (BOX_HEIGHT + GAP_Y)).alias("y"))
     extent = lambda df: df.groupBy("component").agg((F.max("x") + BOX_WIDTH).alias("w"), (F.max("y") + BOX_HEIGHT).alias("h"), F.count(F.lit(1)).alias("n"))
     blocks = [tuple(r)[:3] for r in extent(boxes).orderBy(F.col("n").desc(), F.col("w").desc(), "component").collect()] + [tuple(r)[:3] for r in extent(grid).collect()]

@@ -303,7 +303,7 @@ def root_sink_paths(spark, sf):
 
 @query(f"WITH RECURSIVE {_LINKS}, p(path, cur) AS (SELECT [id], id FROM names WHERE id NOT IN (SELECT target FROM pairs) UNION ALL SELECT list_append(path, target), target FROM p JOIN pairs ON source = cur WHERE NOT list_contains(path, target)), "
        "done AS (SELECT path FROM p WHERE NOT EXISTS (SELECT 1 FROM pairs WHERE source = cur AND NOT list_contains(path, target)) ORDER BY path[1] IN (SELECT source FROM pairs) DESC, path LIMIT 80) "
-       "SELECT row_number() OVER (ORDER BY array_to_string(path, chr(1)))::INT AS position, array_to_string(list_transform(path, lambda x: regexp_extract(x, '([^.]*)$', 1) || CASE WHEN starts_with(x, 'python_function:') AND NOT ends_with(x, '()') THEN '()' ELSE '' END), chr(10) || '   ↓' || chr(10)) AS chain FROM done")
+       "SELECT row_number() OVER (ORDER BY path[1] IN (SELECT source FROM pairs) DESC, path)::INT AS position, array_to_string(list_transform(path, lambda x: regexp_extract(x, '([^.]*)$', 1) || CASE WHEN starts_with(x, 'python_function:') AND NOT ends_with(x, '()') THEN '()' ELSE '' END), chr(10) || '   ↓' || chr(10)) AS chain FROM done")
 def chains(spark, sf):
     """The chains that the command line prints, at most 80."""
     return render.chains(_links(spark, sf))
@@ -335,6 +335,27 @@ def layers(spark, sf):
     return traverse.layers(g.nodes, g.edges)
 
 
+# every child has one parent here, so a cycle is entered nowhere and begins at its smallest id
+@query(rf"""WITH RECURSIVE {_LINKS}, up AS (SELECT target AS v, min(source) AS p FROM pairs GROUP BY target), placed(v, layer) AS (SELECT id, 0 FROM names WHERE id NOT IN (SELECT v FROM up) UNION ALL SELECT u.v, layer + 1 FROM placed JOIN up u ON u.p = placed.v),
+lost AS (SELECT * FROM up WHERE v NOT IN (SELECT v FROM placed)), reach(v, a) AS (SELECT v, p FROM lost UNION SELECT r.v, l.p FROM reach r JOIN lost l ON l.v = r.a),
+heads AS (SELECT min(a) AS v FROM reach WHERE v IN (SELECT v FROM reach WHERE v = a) GROUP BY v), behind(v, layer) AS (SELECT DISTINCT v, 0 FROM heads UNION ALL SELECT l.v, layer + 1 FROM behind b JOIN lost l ON l.p = b.v WHERE l.v NOT IN (SELECT v FROM heads))
+SELECT v AS id, layer::INT AS layer FROM placed UNION ALL SELECT v, layer FROM behind""")
+def layers_cyclic(spark, sf):
+    """Layers of the asset links with the smallest parent of each child, cycles and what hangs on them included."""
+    g = _links(spark, sf)
+    return traverse.layers(g.nodes, g.edges.groupBy("target").agg(F.min("source").alias("source")))
+
+
+# drawn by hand: natural ids that look numbered, ids that begin with a digit, ids without any letter
+_COLLIDING = ("1x", "a-b", "a.b", "a_b", "a_b_2", "a_b_3", "a_b_4", "b", "?", "!", "n")
+
+
+@query("SELECT * FROM (VALUES ('1x', 'n_1x'), ('a-b', 'a_b'), ('a.b', 'a_b_2'), ('a_b', 'a_b_3'), ('a_b_2', 'a_b_2_2'), ('a_b_3', 'a_b_3_2'), ('a_b_4', 'a_b_4'), ('b', 'b'), ('!', 'n'), ('?', 'n_2'), ('n', 'n_3')) t(id, shown)")
+def mermaid_collisions(spark, sf):
+    """Short ids that would collide with numbered ones."""
+    return views.suffixed_ids(_start(spark, *_COLLIDING), ids.mermaid_id(F.col("id")))
+
+
 def _order_sql() -> str:
     out = [_LAYERS, "o0 AS (SELECT id, layer, row_number() OVER (PARTITION BY layer ORDER BY id) - 1 AS position FROM layered)"]
     for i, (layer, side) in enumerate([(x, 0) for x in range(4)] + [(x, 1) for x in (3, 2, 1, 0)] + [(x, 0) for x in range(4)]):
@@ -478,8 +499,8 @@ def external_hosts(spark, sf):
     return facts.select("fact_id", ids.host_of(address).alias("host"), ids.http_host(address).alias("http_host"))
 
 
-@query(f"WITH {_LINKS}, c AS (SELECT id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(id, '[0-9]+', '', 'g'), '[^A-Za-z0-9_]', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'n') AS clean FROM names), "
-       "k AS (SELECT *, row_number() OVER (PARTITION BY clean ORDER BY id) AS n FROM c) SELECT id, CASE WHEN n = 1 THEN clean ELSE clean || '_' || n END AS shown FROM k")
+@query(f"WITH {_LINKS}, c AS (SELECT id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(id, '[0-9]+', '', 'g'), '[^A-Za-z0-9_]', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'n') AS raw FROM names), "
+       "k AS (SELECT *, CASE WHEN regexp_matches(raw, '^[0-9]') THEN 'n_' || raw ELSE raw END AS clean, row_number() OVER (PARTITION BY raw ORDER BY id) AS n FROM c) SELECT id, CASE WHEN n = 1 THEN clean ELSE clean || '_' || n END AS shown FROM k")
 def mermaid_ids(spark, sf):
     """Short unique ids with numbered suffixes."""
     return views.suffixed_ids(_links(spark, sf).nodes, ids.mermaid_id(F.regexp_replace("id", "[0-9]+", "")))
@@ -584,8 +605,8 @@ def canonical_json(spark, sf):
     return store.json_rows(Graph(model.merge_nodes(g.nodes), model.merge_edges(g.edges)))[0]
 
 
-@query(f"WITH {_LINKS}, c AS (SELECT id, coalesce(nullif(regexp_replace(regexp_replace(id, '[^A-Za-z0-9_]', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'n') AS clean FROM names), "
-       "k AS (SELECT *, row_number() OVER (PARTITION BY clean ORDER BY id) AS n FROM c) SELECT id, replace(regexp_extract(id, '([^.]*)$', 1), chr(34), chr(39)) || CASE WHEN starts_with(id, 'python_function:') AND NOT ends_with(id, '()') THEN '()' ELSE '' END AS label, "
+@query(f"WITH {_LINKS}, c AS (SELECT id, coalesce(nullif(regexp_replace(regexp_replace(id, '[^A-Za-z0-9_]', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'n') AS raw FROM names), "
+       "k AS (SELECT *, CASE WHEN regexp_matches(raw, '^[0-9]') THEN 'n_' || raw ELSE raw END AS clean, row_number() OVER (PARTITION BY raw ORDER BY id) AS n FROM c) SELECT id, replace(regexp_extract(id, '([^.]*)$', 1), chr(34), chr(39)) || CASE WHEN starts_with(id, 'python_function:') AND NOT ends_with(id, '()') THEN '()' ELSE '' END AS label, "
        "CASE WHEN n = 1 THEN clean ELSE clean || '_' || n END AS shown FROM k")
 def mermaid_nodes(spark, sf):
     """Ids and labels of a drawing of the asset links."""

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from weft.errors import ConfigError
 from weft.functions.ids import glob_regex
 from weft.sources import dbtfacts
 from weft.sources.pyfacts import python_facts
@@ -39,10 +40,6 @@ FACT_SCHEMA = (
 )
 
 
-class ConfigError(ValueError):
-    """The configuration cannot be used."""
-
-
 @dataclass
 class Config:
     """What to scan and where the graph goes; unknown keys are ignored with a warning."""

@@ -11,19 +11,12 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.errors import GraphNotFound, StoreError
 from weft.operators.model import CONFIDENCE, EDGE_SCHEMA, NODE_SCHEMA, Graph
 
 SCHEMA_VERSION = "0.1"
 
 
-class StoreError(ValueError):
-    """A stored graph cannot be read."""
-
-
-class GraphNotFound(FileNotFoundError):
-    """No graph is stored there."""
-
-
 def utc_now() -> str:
     return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
