@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.plans import graph_queries, training_queries
+from weft.plans import extraction_queries, graph_queries, training_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (training_queries, graph_queries)
+_MODULES = (training_queries, graph_queries, extraction_queries)
 
 
 def core_queries() -> dict[str, Query]:

@@ -26,10 +26,12 @@ TEMP_VIEWS = ("createOrReplaceTempView", "createTempView", "createGlobalTempView
 PIPELINE_KINDS = ("table", "view", "materialized_view", "temporary_view")
 PERSISTED = ("table", "materialized_view")
 DJANGO_READS = (
-    "all filter exclude get first last exists count values values_list annotate aggregate select_related prefetch_related raw none iterator "
-    "distinct order_by only defer"
-).split()
-DJANGO_WRITES = "create bulk_create bulk_update update get_or_create update_or_create delete".split()
+    "all", "filter", "exclude", "get", "first", "last", "exists", "count", "values", "values_list", "annotate", "aggregate", "select_related",
+    "prefetch_related", "raw", "none", "iterator", "distinct", "order_by", "only", "defer",
+)
+DJANGO_WRITES = (
+    "create", "bulk_create", "bulk_update", "update", "get_or_create", "update_or_create", "delete",
+)
 #: Model families: names, provider, keywords of the model, and whether it may be the first argument.
 MODELS = (
     (("ChatOpenAI", "OpenAI"), "llm", "openai", ("model", "model_name"), False),

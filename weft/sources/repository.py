@@ -22,10 +22,10 @@ from weft.sources import dbtfacts
 from weft.sources.pyfacts import python_facts
 
 #: Directories that hold no sources of a repository; fixed values.
-IGNORED_DIRS = frozenset(
-    """.git .venv venv node_modules dist build __pycache__ .pytest_cache .mypy_cache .ruff_cache .next .cursor .eggs .idea .vscode .tox .nox htmlcov
-    site-packages graphify-out .weft""".split()
-)
+IGNORED_DIRS = frozenset((
+    ".git", ".venv", "venv", "node_modules", "dist", "build", "__pycache__", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".next", ".cursor",
+    ".eggs", ".idea", ".vscode", ".tox", ".nox", "htmlcov", "site-packages", "graphify-out", ".weft",
+))
 SUFFIXES = (".py", ".sql", ".yml", ".yaml")
 #: Larger files are skipped with a warning; fixed value.
 MAX_BYTES = 10 * 1024 * 1024

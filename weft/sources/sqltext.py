@@ -1,5 +1,7 @@
 """Tables that SQL text reads and writes, found by scanning tokens; nothing is executed.
 
+Only text that the grammar of one dialect accepts as a whole gives facts; statements without a place in the grammar, such
+as those that set options, are passed over.
 The scanner knows where table names stand (after FROM, JOIN, INTO, UPDATE, USING, TABLE and commas of a FROM list), keeps
 brackets apart as scopes, and leaves out names of common table expressions, functions and the written table.
 """
@@ -10,19 +12,29 @@ import re
 from dataclasses import dataclass
 from functools import lru_cache
 
+from weft.grammar import sql as grammar
+
 _TOKEN = re.compile(
     r"(?P<skip>\s+|--[^\n]*|/\*[\s\S]*?\*/)|(?P<string>'(?:[^'\\]|''|\\[\s\S])*')|(?P<quoted>\"(?:[^\"]|\"\")+\"|`[^`]+`|\[[A-Za-z_][^\]\n]*\])"
     r"|(?P<number>\d[\w.]*|\.\d+)|(?P<word>[^\W\d][\w$]*)|(?P<op>::|<=>|<>|!=|<=|>=|\|\||->>?|[-+*/%^&|~<>=!.,;:()?@#$\[\]{}])"
 )
 #: First words of statements that are understood, and of those that are passed over; fixed values.
-_READS = frozenset("select with values table from".split())
-_WRITES = frozenset("insert update delete merge create replace upsert".split())
-_OTHER = frozenset("set use drop alter truncate grant revoke begin commit rollback explain describe show analyze start".split())
+_READS = frozenset((
+    "select", "with", "values", "table", "from",
+))
+_WRITES = frozenset((
+    "insert", "update", "delete", "merge", "create", "replace", "upsert",
+))
+_OTHER = frozenset((
+    "set", "use", "drop", "alter", "truncate", "grant", "revoke", "begin", "commit", "rollback", "explain", "describe", "show", "analyze", "start",
+))
 #: Words that end the list of tables of a FROM clause, or cannot be an alias.
-_CLAUSE = frozenset(
-    """where group order having limit union intersect except minus window qualify on using set values select when then returning offset fetch for
-    join inner left right full cross natural lateral outer anti semi pivot unpivot tablesample into from as partition cluster distribute sort with and or not is in""".split()
-)
+_CLAUSE = frozenset((
+    "where", "group", "order", "having", "limit", "union", "intersect", "except", "minus", "window", "qualify", "on", "using", "set", "values",
+    "select", "when", "then", "returning", "offset", "fetch", "for", "join", "inner", "left", "right", "full", "cross", "natural", "lateral", "outer",
+    "anti", "semi", "pivot", "unpivot", "tablesample", "into", "from", "as", "partition", "cluster", "distribute", "sort", "with", "and", "or", "not",
+    "is", "in",
+))
 _NOT_FROM = frozenset(("extract", "substring", "trim", "position", "overlay"))
 
 
@@ -151,6 +163,7 @@ class _Reader:
                 parts, end = self.name(after)
                 if parts:
                     self.target, expects_target, at = normal_name(parts), False, end
+                    scope["from"] = first == "update"  # further tables may follow after commas
                     continue
             elif word == "from" and scope["call"] not in _NOT_FROM and self.word(at - 1) != "distinct":
                 scope["from"] = True
@@ -213,11 +226,23 @@ class _Reader:
         return at
 
 
+def _accepted(text: str) -> bool:
+    """Whether one dialect accepts all statements that the grammar knows."""
+    for kinds in grammar.readings(text):
+        known = [s for s in grammar.statements(kinds) if next((k for k in s if k != "("), "").lower() in _READS | _WRITES]
+        if grammar.grammar().accepts_all(known):
+            return True
+    return False
+
+
 @lru_cache(maxsize=512)
 def sql_facts(sql: str) -> tuple[tuple[SqlFact, ...], str | None]:
     """The facts of all statements, and an error if the text cannot be read; then there are no facts."""
     try:
-        return tuple(_Reader(s).read() for s in _statements(_tokens(sql))), None
+        facts = tuple(_Reader(s).read() for s in _statements(_tokens(sql)))
+        if not _accepted(sql):
+            raise SqlError("no dialect accepts it")
+        return facts, None
     except SqlError as e:
         return (), str(e)
 

@@ -37,7 +37,7 @@ def json_rows(graph: Graph) -> tuple[DataFrame, DataFrame]:
     Metadata values are spliced in as the JSON they are, by key; a distributed export writes these lines.
     """
     body = lambda: F.concat(
-        F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat(_quoted(e["key"]), F.lit(":"), F.coalesce(e["value"], F.lit("null")))), ","), F.lit("}")
+        F.lit("{"), F.coalesce(F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat(_quoted(e["key"]), F.lit(":"), F.coalesce(e["value"], F.lit("null")))), ","), F.lit("")), F.lit("}")
     )
     either = lambda c: F.coalesce(_quoted(F.col(c)), F.lit("null"))
     node = F.concat(
