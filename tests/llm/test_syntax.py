@@ -5,9 +5,10 @@ from pathlib import Path
 
 import pytest
 
-from weft.llm.syntax import python, sql, yaml
+from weft.grammar import sql
+from weft.llm.syntax import python, yaml
 from weft.llm.syntax.files import check_files, rates
-from weft.llm.syntax.gll import Grammar
+from weft.grammar.gll import Grammar
 
 VALID_SQL = [
     "", "  -- nothing\n", "SELECT 1", "select a, b.c x from s.t b where a between 1 and 2 and b.c is not null;", "SELECT x.id FROM {{ ref('stg') }} x LEFT JOIN (SELECT id FROM raw.t GROUP BY id) y ON x.id = y.id",

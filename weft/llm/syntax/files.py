@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.syntax import python, sql, yaml
+from weft.grammar import sql
+from weft.llm.syntax import python, yaml
 
 
 def language(path: Column) -> Column:

@@ -6,10 +6,12 @@ import re
 import unicodedata
 from functools import lru_cache
 
-from weft.llm.syntax.gll import Grammar
+from weft.grammar.gll import Grammar
 
-KEYWORDS = """False None True and as assert async await break class continue def del elif else except finally for from global if import in is
-lambda nonlocal not or pass raise return try while with yield""".split()
+KEYWORDS = (
+    "False", "None", "True", "and", "as", "assert", "async", "await", "break", "class", "continue", "def", "del", "elif", "else", "except", "finally",
+    "for", "from", "global", "if", "import", "in", "is", "lambda", "nonlocal", "not", "or", "pass", "raise", "return", "try", "while", "with", "yield",
+)
 SOFT_KEYWORDS = ("match", "case", "type", "_")
 _OPERATORS = ("**=", "//=", ">>=", "<<=", "...", "!=", "->", ":=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "@=", "**", "//", ">>", "<<", "<=", ">=", "==",
               "+", "-", "*", "/", "%", "&", "|", "^", "~", "@", "<", ">", "(", ")", "[", "]", "{", "}", ",", ":", ".", ";", "=", "!")
