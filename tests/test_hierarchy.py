@@ -96,3 +96,9 @@ def test_every_asset_is_asked_for_its_descendants(spark, tmp_path):
     links.write.parquet(str(tmp_path / "asset_edges.parquet"))
     got = {tuple(r) for r in core_queries()["p5_all_descendants"](spark, str(tmp_path)).collect()}
     assert got == {("a", "b"), ("a", "c"), ("b", "c"), ("r", "s")}
+
+
+def test_other_parents_are_told(spark):
+    links = spark.createDataFrame([("b", "x"), (" a ", "x"), ("c", "x"), ("c", "x"), ("a", "y"), (None, "x"), ("x", None)], "source string, target string")
+    got = sorted(tuple(r) for r in Hierarchy(links, "source", "target").other_parents().collect())
+    assert got == [("x", "b", "a"), ("x", "c", "a")]

@@ -92,13 +92,14 @@ class Hierarchy:
     """The hierarchies of parent-child links.
 
     A null or blank parent only declares its child, a null child its parent. Repeated links count once; if a child
-    has several parents the smallest one holds. No links give empty results.
+    has several parents the smallest one holds, and ``other_parents`` tells the rest. No links give empty results.
     """
 
     def __init__(self, links: DataFrame, parent: str, child: str, *, buckets: int = SIBLING_BUCKETS):
         ends = links.select(trimmed(F.col(parent)).alias("p"), trimmed(F.col(child)).alias("c"))
         names = ends.select(F.explode(F.array("p", "c")).alias("name")).filter("name is not null").distinct()
         self.names = cut(names.select("name", F.monotonically_increasing_id().alias("v")))
+        self.ends = ends
         single = ends.filter("p is not null and c is not null").groupBy("c").agg(F.min("p").alias("p"))
         ids = lambda a, b: self.names.select(F.col("name").alias(a), F.col("v").alias(b))
         self.parents = cut(single.join(ids("c", "v"), "c").join(ids("p", "pv"), "p").select("v", F.col("pv").alias("p")))
@@ -106,6 +107,12 @@ class Hierarchy:
         self.forest = self.parents if self.caught is None else cut(self.parents.join(self.caught, "v", "left_anti"))
         self.ranked = _rank(_tour(self.forest, buckets))
 
+    def other_parents(self) -> DataFrame:
+        """(node_id, parent_id, kept_id): the parents of a child beyond the one that holds; none in a proper hierarchy."""
+        links = self.ends.filter("p is not null and c is not null").distinct()
+        kept = links.groupBy("c").agg(F.min("p").alias("kept"))
+        return links.join(kept, "c").filter("p <> kept").select(F.col("c").alias("node_id"), F.col("p").alias("parent_id"), F.col("kept").alias("kept_id"))
+
     def intervals(self) -> DataFrame:
         """(v, root, depth, enter, leave) of every node below a root; a node is above another of its tree exactly
         if it has a larger ``enter`` and a smaller ``leave``."""

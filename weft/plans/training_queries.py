@@ -68,7 +68,12 @@ def p5_all_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Hierarchy(table(spark, sf_dir, "asset_edges"), "source", "target").descendants()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_change_counts, p2_found, p2_key_profile, p5_found, p5_hierarchy, p5_descendants, p5_all_descendants)}
+def p5_other_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links to a child that has a smaller parent, which the hierarchy leaves out."""
+    return Hierarchy(table(spark, sf_dir, "asset_edges"), "source", "target").other_parents()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_change_counts, p2_found, p2_key_profile, p5_found, p5_hierarchy, p5_descendants, p5_all_descendants, p5_other_parents)}
 
 _SNAPSHOTS = """
 headers AS (SELECT scan_id, any_value(repo) AS repo, any_value(scan_timestamp)::TIMESTAMPTZ AS instant FROM scans GROUP BY scan_id),
@@ -126,6 +131,7 @@ ORACLE = {
     "p5_descendants": f"WITH RECURSIVE {_TREES}, asked AS (SELECT DISTINCT p AS v FROM ends WHERE edge_id % 50 = 0 AND p IN (SELECT v FROM placed)), "
     "below(a, v) AS (SELECT q.v, c.v FROM asked q JOIN parents c ON c.p = q.v UNION SELECT b.a, c.v FROM below b JOIN parents c ON c.p = b.v) "
     "SELECT a AS ancestor_id, v AS node_id FROM below",
+    "p5_other_parents": f"WITH RECURSIVE {_TREES} SELECT DISTINCT c AS node_id, e.p AS parent_id, parents.p AS kept_id FROM ends e JOIN parents ON v = c WHERE e.p IS NOT NULL AND e.p <> parents.p",
     "p5_all_descendants": f"WITH RECURSIVE {_TREES}, below(a, v) AS (SELECT p, v FROM parents WHERE v IN (SELECT v FROM placed) "
     "UNION SELECT b.a, c.v FROM below b JOIN parents c ON c.p = b.v) SELECT a AS ancestor_id, v AS node_id FROM below",
 }
