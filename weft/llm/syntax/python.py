@@ -112,6 +112,11 @@ _NEXT = re.compile(rf"[ \t\f]*+(?:([^\W\d]\w*+)(?!['\"])|(?!\.\d)({'|'.join(map(
 _CONTINUES = frozenset(["elif", "else", "except", "finally", "INDENT", "DEDENT", "NEWLINE"])
 
 
+#: Lines whose token kinds are remembered, of at most so many characters each; beyond, all are forgotten.
+LINES, LINE_LENGTH = 50_000, 200
+_LINES: dict[str, tuple[str, ...]] = {}
+
+
 class _Bad(Exception):
     """No token begins here."""
 
@@ -125,6 +130,7 @@ class _Lexer:
         if "\0" in text:
             raise _Bad
         indents, at, begin = [(0, 0)], 1 if text.startswith("﻿") else 0, True
+        line, end, mark = "", -1, 0  # a logical line, where its first physical line ends, and its first token
         while at < len(text):
             if begin:
                 column = other = 0
@@ -162,6 +168,12 @@ class _Lexer:
                         if (column, other) != indents[-1]:
                             raise _Bad
                 begin = False
+                end = text.find("\n", at)
+                line, mark = text[at : end if end >= 0 else len(text)], len(out)
+                known = _LINES.get(line) if end >= 0 else None
+                if known is not None:
+                    out += known
+                    at = end
             m = _NEXT.match(text, at)
             if m is not None:
                 word, op = m.groups()
@@ -174,10 +186,14 @@ class _Lexer:
                 at = m.end()
                 continue
             if text[at] == "\n":
-                at += 1
                 if not self.stack:
+                    if at == end and len(line) <= LINE_LENGTH and line not in _LINES:
+                        if len(_LINES) >= LINES:
+                            _LINES.clear()
+                        _LINES[line] = tuple(out[mark:])
                     out.append("NEWLINE")
                     begin = True
+                at += 1
                 continue
             at = self.token(at)
         if self.stack:
