@@ -71,13 +71,20 @@ def unpivot_facts(facts: DataFrame, trust: DataFrame) -> DataFrame:
     )
 
 
+def _key(seed: int, *columns: str) -> Column:
+    """A 128-bit digest of columns that tells null from any value; equal rows have equal digests."""
+    parts = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    return F.struct(F.xxhash64(F.lit(seed), *parts).alias("h"), F.xxhash64(F.lit(seed + 1), *parts).alias("l"))
+
+
 def tally(long: DataFrame, half_life_days: float = HALF_LIFE_DAYS) -> DataFrame:
-    """(repo, node, field, value, votes, best, group_id, members): trust times recency decay, summed per value.
+    """(node_key, repo, node, field, value, votes, best, group_id, members): trust times recency decay, summed per value.
 
     Votes are whole millionths of a trust, so that sums do not depend on the order of rows. Age counts from the latest
     time of all facts; a null time has the weight 0 and an untrusted source a trust of 1, so that every value can win
     where nothing better exists. A value of unusable rows has null votes. ``best`` is the value's best usable row: most
-    filled values, highest trust, latest time with null as the oldest, smallest ``fact_id``.
+    filled values, highest trust, latest time with null as the oldest, smallest ``fact_id``. Nodes and values are told
+    apart by 128-bit digests, so that their texts are only shuffled where they are asked for.
     """
     micros = F.unix_micros(F.col("emitted_at").cast("timestamp"))
     newest = long.agg(F.max(micros)).scalar()
@@ -85,31 +92,32 @@ def tally(long: DataFrame, half_life_days: float = HALF_LIFE_DAYS) -> DataFrame:
     weight = F.coalesce(F.round((F.col("trust") + 1) * F.pow(F.lit(2.0), -age / half_life_days) * 1_000_000).cast("long"), F.lit(0).cast("long"))
     usable = F.col("usable")
     row = F.struct("filled", "trust", "emitted_at", (-F.col("fact_id")).alias("against"))
-    return long.groupBy("repo", "node", "field", "value").agg(
-        F.sum(F.when(usable, weight)).alias("votes"), F.max(F.when(usable, row)).alias("best"), F.min("fact_id").alias("group_id"), F.count(F.lit(1)).alias("members"),
+    return long.groupBy(_key(1, "repo", "node").alias("node_key"), "field", _key(3, "value").alias("value_key")).agg(
+        F.min("repo").alias("repo"), F.min("node").alias("node"), F.min("value").alias("value"), F.sum(F.when(usable, weight)).alias("votes"),
+        F.max(F.when(usable, row)).alias("best"), F.min("fact_id").alias("group_id"), F.count(F.lit(1)).alias("members"),
     )
 
 
 def winners(tallied: DataFrame, by: str = "preference") -> DataFrame:
-    """(repo, node, field, group_id, members, fact_id, value, votes): the winning value of each node and field.
+    """(node_key, repo, node, field, group_id, members, fact_id, value, votes): the winning value of each node and field.
 
     ``by="votes"``: the value with the most votes; ties go to the smallest value. ``by="preference"``: the value of the
     best row, in the order that ``tally`` states; votes are its last tie-break. ``fact_id`` is the best row of the
     winning value. A field without a usable row has a null winner. Repeated rows count as often as they come.
     """
-    chosen = F.when(F.col("votes").isNotNull(), F.struct("value", (-F.col("best.against")).alias("fact_id"), "votes"))
-    if by == "votes":
-        winner = F.min_by(chosen, F.when(F.col("votes").isNotNull(), F.struct((-F.col("votes")).alias("against"), "value")))
-    else:
-        winner = F.max_by(chosen, F.when(F.col("votes").isNotNull(), F.struct("best", "votes")))
-    return tallied.groupBy("repo", "node", "field").agg(F.min("group_id").alias("group_id"), F.sum("members").alias("members"), winner.alias("w")).select(
-        "repo", "node", "field", "group_id", "members", F.col("w.fact_id").alias("fact_id"), F.col("w.value").alias("value"), F.col("w.votes").alias("votes")
+    votes = F.col("votes")
+    rank = F.struct((-votes).alias("against"), "value") if by == "votes" else F.struct("best", "votes")
+    choose, rank = F.min_by if by == "votes" else F.max_by, F.when(votes.isNotNull(), rank)
+    won = lambda c: choose(F.when(votes.isNotNull(), c), rank)
+    return tallied.groupBy("node_key", "field").agg(
+        F.min("repo").alias("repo"), F.min("node").alias("node"), F.min("group_id").alias("group_id"), F.sum("members").alias("members"),
+        won(-F.col("best.against")).alias("fact_id"), won(F.col("value")).alias("value"), won(votes).alias("votes"),
     )
 
 
 def disagreements(tallied: DataFrame) -> DataFrame:
     """(field, fields, differ): in how many nodes' fields the votes choose another value than the stated order."""
-    key = ["repo", "node", "field"]
+    key = ["node_key", "field"]
     one = lambda by: winners(tallied, by).filter("fact_id is not null").select(*key, "value")
     both = one("preference").unionByName(one("votes")).groupBy(*key).agg((F.min("value") != F.max("value")).alias("d"))
     return both.groupBy("field").agg(F.count(F.lit(1)).alias("fields"), F.count_if("d").alias("differ"))
@@ -118,6 +126,6 @@ def disagreements(tallied: DataFrame) -> DataFrame:
 def golden_records(winners: DataFrame) -> DataFrame:
     """(group_id, repo, node, members, file_path, line_number, metadata): winners pivoted back to one row a node."""
     of = lambda f: F.max(F.when(F.col("field") == f, F.col("value"))).alias(f)
-    return winners.groupBy("repo", "node").agg(
-        F.min("group_id").alias("group_id"), F.max("members").alias("members"), of("file_path"), of("line_number"), of("metadata")
-    )
+    return winners.groupBy("node_key").agg(
+        F.min("repo").alias("repo"), F.min("node").alias("node"), F.min("group_id").alias("group_id"), F.max("members").alias("members"), of("file_path"), of("line_number"), of("metadata")
+    ).drop("node_key")
