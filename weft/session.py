@@ -19,6 +19,7 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -31,12 +32,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder lineage is cut into.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``; only where that is unset, as in tests on one
-    machine, is a temporary folder made.
+    A cluster names a shared folder in ``spark.checkpoint.dir`` and fails without; only where that is unset on one
+    machine, as in tests, is a temporary folder made. Spark removes the files of data that is not used any more where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, as ``local_session`` does.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="weft-checkpoint-"))
     return named or context.getCheckpointDir()
 
