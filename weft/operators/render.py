@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import html
 import json
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -102,32 +103,15 @@ def embed_json(payload: Any) -> str:
     return text
 
 
-_PAGE = """<!doctype html>
-<html lang="en"><head><meta charset="utf-8"><title>%(title)s</title>
-<style>body{font:14px sans-serif;margin:0;display:flex;height:100vh}aside{width:320px;overflow:auto;padding:8px;border-right:1px solid #ccc}main{flex:1;overflow:auto}
-rect{fill:#eef3fa;stroke:#456;rx:4}rect.hit{fill:#ffe2a8}path{fill:none;stroke:#89a}text{font-size:12px}</style></head>
-<body><aside><input id="q" placeholder="search"> <label><input type="checkbox" id="assets" checked> assets only</label><pre id="info"></pre></aside>
-<main><svg id="g" xmlns="http://www.w3.org/2000/svg"></svg></main>
-<script>
-const data=%(payload)s,svg=document.getElementById('g'),q=document.getElementById('q'),assets=document.getElementById('assets'),info=document.getElementById('info');
-function view(){const kinds=new Set(data.asset_types),nodes=data.nodes.filter(n=>!assets.checked||kinds.has(n.type)),ids=new Set(nodes.map(n=>n.id));
- return{nodes,edges:(assets.checked?data.asset_edges:data.edges).filter(e=>ids.has(e.source)&&ids.has(e.target))}}
-function ranks(v){const r=new Map(v.nodes.map(n=>[n.id,0]));for(let i=0;i<v.nodes.length;i++){let moved=false;for(const e of v.edges){const w=r.get(e.source)+1;if(w>r.get(e.target)&&w<v.nodes.length){r.set(e.target,w);moved=true}}if(!moved)break}return r}
-function closure(v,id){const seen=new Set([id]),todo=[id];while(todo.length){const a=todo.pop();for(const e of v.edges)if(e.source===a&&!seen.has(e.target)){seen.add(e.target);todo.push(e.target)}}return seen}
-function draw(picked){const v=view(),r=ranks(v),rows=new Map(),at=new Map(),text=q.value.toLowerCase(),hit=picked?closure(v,picked):new Set(text?v.nodes.filter(n=>(n.name+' '+n.id+' '+n.type).toLowerCase().includes(text)).map(n=>n.id):[]);
- svg.textContent='';let h=0,w=0;for(const n of v.nodes){const c=r.get(n.id),k=rows.get(c)||0;rows.set(c,k+1);at.set(n.id,[20+c*260,20+k*44]);h=Math.max(h,90+k*44);w=Math.max(w,280+c*260)}
- svg.setAttribute('width',w);svg.setAttribute('height',h);const el=(t,a,p)=>{const x=document.createElementNS(svg.namespaceURI,t);for(const k in a)x.setAttribute(k,a[k]);(p||svg).appendChild(x);return x};
- for(const e of v.edges){const[a,b]=at.get(e.source),[c,d]=at.get(e.target);el('path',{d:`M${a+220},${b+15} C${a+240},${b+15} ${c-20},${d+15} ${c},${d+15}`})}
- for(const n of v.nodes){const[x,y]=at.get(n.id),g=el('g',{});el('rect',{x,y,width:220,height:30,class:hit.has(n.id)?'hit':''},g);el('text',{x:x+6,y:y+19},g).textContent=n.label.slice(0,34);
-  g.onclick=()=>{info.textContent=JSON.stringify({...n,upstream:v.edges.filter(e=>e.target===n.id).map(e=>e.source),downstream:v.edges.filter(e=>e.source===n.id).map(e=>e.target)},null,1);draw(n.id)}}}
-q.oninput=()=>draw();assets.onchange=()=>draw();draw();
-</script></body></html>
-"""
+#: The page: filters by mode, type, namespace and component, search, highlights, and an inspector of nodes and edges.
+_PAGE = Path(__file__).with_name("viewer.html")
 
 
 def render_html(payload: dict[str, Any], title: str = "Lineage") -> str:
     """One page without outside resources."""
-    return _PAGE % {"title": html.escape(title), "payload": embed_json(payload)}
+    head, rest = _PAGE.read_text(encoding="utf-8").split("__TITLE__", 1)
+    middle, tail = rest.split("__PAYLOAD__", 1)
+    return head + html.escape(title) + middle + embed_json(payload) + tail
 
 
 def write_html(path: str, payload: dict[str, Any], title: str = "Lineage") -> str:
