@@ -368,9 +368,8 @@ def _order_sql() -> str:
 @query(_order_sql())
 def column_order(spark, sf):
     """Places within layers after three barycentre sweeps."""
-    g = fk_graph(spark, sf)
-    placed = traverse.layers(g.nodes, g.edges).withColumn("component", F.lit("all"))
-    return traverse.column_order(placed, g.edges)
+    g = fk_graph(spark, sf, raw=True)  # repeats are dropped with the links
+    return traverse.layered_order(g.nodes, g.edges)
 
 
 @query()
