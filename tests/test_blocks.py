@@ -44,3 +44,16 @@ def test_links_of_places_are_not_written_as_rows(spark, monkeypatch):
     placed = spark.createDataFrame([(x, "k", i) for i, x in enumerate("abc")], "id string, component string, layer int")
     e = spark.createDataFrame([("a", "b"), ("b", "c")], "source string, target string")
     assert {tuple(r) for r in traverse.column_order(placed, e).select("id", F.col("position")).collect()} == {("a", 0), ("b", 0), ("c", 0)}
+
+
+def test_components_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK", 4)
+    nodes = spark.createDataFrame([(x,) for x in "abcdefghij"], "id string")
+    e = spark.createDataFrame([tuple(p) for p in ("ab", "cb", "dc", "be", "fg", "gh", "ii")], "source string, target string")
+    g = blocks.Blocks(nodes, e)
+    rows = g.order(g.components(traverse.components), g.layers(), 0).join(g.names, "r").collect()
+    found = {}
+    for r in rows:
+        found.setdefault(r["code"], set()).add(r["id"])
+    assert sorted(map("".join, map(sorted, found.values()))) == ["abcde", "fgh", "i", "j"]
+    assert g.components(traverse.components, rounds=1) is None

@@ -292,6 +292,113 @@ class Blocks:
             self.drop(before)
             depth += 1
 
+    def components(self, small, rounds: int = 24) -> DataFrame | None:
+        """Rows with the number of one node of the weakly connected component of each node.
+
+        What the node with most links reaches in either direction is taken from it, each link being followed once from
+        both ends; ``small`` (nodes (id), links (source, target)), which is ``traverse.components``, gets the rest. None
+        where that walk is not over after ``rounds``, as on long chains.
+        """
+        blocks = self.blocks
+
+        def degrees(batches):
+            for block, rows in _by_block(batches):
+                for kind, data in rows:
+                    if kind == 0:
+                        degree = np.zeros(len(data) // 12, I8)
+                        continue
+                    degree += np.bincount(_unpack(data, I4, I4)[0], minlength=len(degree))
+                yield _batch([(block, int(degree.argmax()), _pack(np.array([degree.max()], I8)))])
+
+        def begin(hub):
+            def step(batches):
+                for block, _, data in _rows(batches):
+                    seen = np.full(len(data) // 12, -1, I4)
+                    if block == hub[0]:
+                        seen[hub[1]] = 0
+                    yield _batch([(block, int(block == hub[0]), _pack(seen))])
+
+            return step
+
+        def push(depth):
+            def step(batches):
+                sender = _Sender()
+                for _, rows in _by_block(batches):
+                    for kind, data in rows:
+                        if kind == 0:
+                            new = np.frombuffer(data, I4) == depth
+                        elif new.any():
+                            x, other = _unpack(data, I4, I4)
+                            other = other[new[x]]
+                            yield from sender.add(other % blocks, 1, other // blocks)
+                yield from sender.flush()
+
+            return step
+
+        def take(depth):
+            def step(batches):
+                for block, rows in _by_block(batches):
+                    for kind, data in rows:
+                        if kind == 0:
+                            seen = np.frombuffer(data, I4).copy()
+                            hit = np.zeros(len(seen), bool)
+                            continue
+                        hit[np.frombuffer(data, I4)] = True
+                    new = hit & (seen < 0)
+                    seen[new] = depth + 1
+                    yield _batch([(block, int(np.count_nonzero(new)), _pack(seen))])
+
+            return step
+
+        def rest(batches):
+            for block, rows in _by_block(batches):
+                for kind, data in rows:
+                    if kind == 0:
+                        left = np.frombuffer(data, I4) < 0
+                    elif left.any():
+                        b, a = _unpack(data, I4, I4)
+                        some = left[b] & (a != b * blocks + block)
+                        yield pa.RecordBatch.from_arrays([pa.array(a[some]), pa.array(b[some] * blocks + block)], ["source", "target"])
+
+        def label(number):
+            def step(batches):
+                for block, rows in _by_block(batches):
+                    for kind, data in rows:
+                        if kind == 0:
+                            seen = np.frombuffer(data, I4)
+                            code = np.where(seen < 0, np.arange(len(seen)) * blocks + block, number).astype(I4)
+                            continue
+                        g, c = _unpack(data, I4, I4)
+                        code[g // blocks] = c
+                    yield _batch([(block, 0, _pack(code))])
+
+            return step
+
+        links = self.into.unionByName(self.out)
+        most = self._meet(self.units.unionByName(links), degrees).collect()
+        if not most:
+            return self.units
+        hub = max((int(np.frombuffer(r["data"], I8)[0]), -r["block"], r["kind"]) for r in most)
+        hub = (-hub[1], hub[2])
+        state, depth = self.stored(self.units.mapInArrow(begin(hub), ROWS)), 0
+        while state.agg(F.sum("kind")).first()[0]:
+            if depth == rounds:
+                return None
+            own, before = state.select("block", F.lit(0).alias("kind"), "data"), state
+            sent = self._meet(own.unionByName(links), push(depth))
+            state = self.stored(self._meet(own.unionByName(sent), take(depth)))
+            self.drop(before)
+            depth += 1
+        own = state.select("block", F.lit(0).alias("kind"), "data")
+        left = own.unionByName(self.into).repartitionById(self.blocks, F.col("block")).sortWithinPartitions("block", "kind")
+        left = self.stored(left.mapInArrow(rest, "source int, target int"))
+        rows = own
+        if left.limit(1).count():
+            ends = left.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+            found = small(ends, left).select("id", "component")
+            rows = rows.unionByName(found.mapInArrow(self._split_hashes((I4, I4)), ROWS))
+        return self.stored(self._meet(rows, label(hub[1] * blocks + hub[0])))
+
     def labelled(self, placed: DataFrame) -> DataFrame:
         """Rows with the component (a number), as kind 0, and layer, as kind 1, of each node of ``placed`` (id, code, layer)."""
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions.ids import display_name, layer_of
+from weft.operators.blocks import Blocks
 from weft.operators.model import Graph, induced
 from weft.operators.traverse import BACKWARD, arcs, column_order, components, layers, walk
 from weft.session import cut_observed
@@ -144,22 +145,38 @@ def numbered(df: DataFrame) -> DataFrame:
     return ranged.join(F.broadcast(offsets), "part").select(*df.columns, (F.col("k") + F.col("shift")).alias("at"))
 
 
-def layout(graph: Graph) -> DataFrame:
-    """(id, component, x, y): boxes in columns by layer, larger components first, single nodes as a grid at the end.
-
-    Places are computed on executors; only the size of each component that is drawn comes to the driver for packing.
-    """
+def _drawn(graph: Graph) -> DataFrame:
+    """(id, component, size, at, position): the column and the place in it of each node, and the size of its component."""
+    blocks = Blocks(graph.nodes, graph.edges)
+    placed = blocks.layers()
+    codes = blocks.components(components) if placed is not None else None
+    if codes is not None:  # without cycles a component has nodes in every layer up to its last
+        ordered = blocks.stored(blocks.order(codes, placed, 3, strict=True).join(blocks.names, "r").select("id", "code", F.col("layer").alias("at"), "position"))
+        named = ordered.groupBy("code").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("component"))
+        return blocks.stored(ordered.join(named, "code").select("id", "component", "size", "at", "position"))
     labels = components(graph.nodes, graph.edges)
     size = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    labels = labels.join(size, "component")
-    grouped, single = labels.filter("size > 1"), labels.filter("size = 1")
+    labels = blocks.stored(labels.join(size, "component"))
+    grouped = labels.filter("size > 1")
     heads = graph.edges.select(F.col("target").alias("id")).filter("source <> target")
     rooted = grouped.join(heads, "id", "left_anti").select("id", "component")
     headless = grouped.select("component").distinct().join(rooted, "component", "left_anti").select(F.col("component").alias("id"))
     placed = layers(grouped, graph.edges, starts=headless).join(grouped.select("id", "component"), "id")
-    ordered = column_order(placed, graph.edges)
+    ordered = blocks.stored(column_order(placed, graph.edges))
     column = F.dense_rank().over(Window.partitionBy("component").orderBy("layer")) - 1
-    boxes = ordered.select("id", "component", (column * (BOX_WIDTH + GAP_X)).alias("x"), (F.col("position") * (BOX_HEIGHT + GAP_Y)).alias("y"))
+    columns = ordered.select("component", "layer").distinct().select("component", "layer", column.alias("at"))
+    found = ordered.join(columns, ["component", "layer"]).join(size, "component").select("id", "component", "size", "at", "position")
+    return found.unionByName(labels.filter("size = 1").select("id", "component", "size", F.lit(0).alias("at"), F.lit(0).alias("position")))
+
+
+def layout(graph: Graph) -> DataFrame:
+    """(id, component, x, y): boxes in columns by layer, larger components first, single nodes as a grid at the end.
+
+    Places are computed on executors; only the size of each component that is drawn comes to the driver for packing.
+    """
+    drawn = _drawn(graph)
+    grouped, single = drawn.filter("size > 1"), drawn.filter("size = 1")
+    boxes = grouped.select("id", "component", (F.col("at") * (BOX_WIDTH + GAP_X)).alias("x"), (F.col("position") * (BOX_HEIGHT + GAP_Y)).alias("y"))
     count = single.count()
     rows = -(-count // max(1, -(-count // max(1, MAX_ROW_HEIGHT // (BOX_HEIGHT + GAP_Y))))) if count else 1
     single, at = numbered(single.select("id")), F.col("at")

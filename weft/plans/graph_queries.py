@@ -375,7 +375,7 @@ def column_order(spark, sf):
 @query()
 def layout(spark, sf):
     """Boxes of a drawing of the rows and their references."""
-    return views.layout(fk_graph(spark, sf))
+    return views.layout(fk_graph(spark, sf, raw=True))  # repeats are dropped with the links
 
 
 @query(f"WITH {JOURNEY_SQL} SELECT source, array_to_string(list_sort(list(target)), ',') AS targets FROM journey GROUP BY source")
